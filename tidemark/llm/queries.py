@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chatfmt, quality
-from tidemark.llm.common import table
+from tidemark.llm import bpe, chatfmt, licenses, media, quality, secrets
+from tidemark.llm.common import stored, table
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` against a ledger that starts empty."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = secrets.secret_findings(docs, secrets.Ledger(spark))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = [kind for kind, *_ in secrets.BASE]
+    return found.select(F.col("path").alias("doc_id"), *map(of, base), F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +44,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit_weights(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as containers in a written table; everything reported is read back from it."""
+    held = stored(media.encode_texts(table(spark, sf_dir, "documents")), "media")
+    return media.media_features(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "frames", "duration")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op6_bpe, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
