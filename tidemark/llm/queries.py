@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chatfmt, licenses, media, quality, secrets
+from tidemark.llm import bpe, chatfmt, licenses, linededup, media, mixing, quality, secrets
 from tidemark.llm.common import stored, table
 
 
@@ -55,12 +55,22 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__epochs")).alias("taken"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op6_bpe, op10_license_scans)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op6_bpe, op7_mixing, op8_line_dedup, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +87,32 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|turn|>') + length(role) + 1 + length(escaped) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+        "op8_line_dedup": r"""
+WITH l AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, coalesce(s.keeper <> k.doc_id, false) AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id""",
+        "op7_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, 1 + place % 3 AS weight, 3 * source_size AS cap, (SELECT CAST(sum(source_size) AS BIGINT) FROM s) AS budget FROM s),
+r AS (
+  SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST)),
+l AS (SELECT capped, free FROM r WHERE CAST(budget - capped AS DOUBLE) * weight / CAST(free AS DOUBLE) <= cap ORDER BY capped LIMIT 1),
+t AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), CAST(budget - l.capped AS DOUBLE) * weight / CAST(l.free AS DOUBLE)) AS target
+  FROM w, l),
+p AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole,
+    sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
     }
