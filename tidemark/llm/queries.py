@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chatfmt, licenses, linededup, media, mixing, quality, secrets, warc
+from tidemark.llm import bpe, chatfmt, licenses, linededup, media, mixing, quality, secrets, setjoin, warc
 from tidemark.llm.common import stored, table
 
 
@@ -50,6 +50,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(held).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "frames", "duration")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.with_classes(table(spark, sf_dir, "documents"), setjoin.Rule(3, 90, 100))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
@@ -74,7 +78,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op6_bpe, op7_mixing, op8_line_dedup, op9_warc, op10_license_scans)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op5_ngram_jaccard_join, op6_bpe, op7_mixing, op8_line_dedup, op9_warc, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
