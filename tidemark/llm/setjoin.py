@@ -262,10 +262,12 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
 
 
 def _possible(rule: Rule, n, m, i, j):
-    """Whether partners of n and m tokens, whose common token stands at i and j, can reach the least overlap."""
+    """Whether partners of n and m tokens need be compared for a common token that stands at i and j: it must lie in the first
+    n - o + 1 and m - o + 1 tokens, of which partners with an overlap of o share one, and leave room for that overlap."""
     need = rule.overlap(n, m)
-    listed = (i < 0) | (j < 0) | (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need)
-    return listed & (np.minimum(n, m) >= -(-rule.num * np.maximum(n, m) // rule.den))
+    early = (i <= n - need) & (j <= m - need)
+    room = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need
+    return ((i < 0) & (j < 0) | early & room & (i >= 0) & (j >= 0)) & (np.minimum(n, m) >= -(-rule.num * np.maximum(n, m) // rule.den))
 
 
 LISTS = "key bigint, node bigint, n int, pos int, leader bigint, possible boolean"
