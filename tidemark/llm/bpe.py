@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 LARGEST_FILE = 16 << 20
 
 
@@ -65,7 +65,7 @@ class PairIndexEncoder:
             self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.seen: dict[str, array] = {}
+        self.seen: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Finds the ids of new pre-tokens, all together."""
@@ -115,7 +115,7 @@ class PairIndexEncoder:
                         heapq.heappush(active, (merges[new][0], new))
                     index[new].append(h)
         for word, start, x in zip(words, starts, data, strict=True):
-            self.seen[word] = array("I", [s for s in symbols[start : start + len(x)] if s >= 0])
+            self.seen[word] = array("I", [s for s in symbols[start : start + len(x)] if s >= 0]).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -136,7 +136,7 @@ class PairIndexEncoder:
         if new:
             self.learn(list(new))
         own = {i: array("I", [i]).tobytes() for i in self.special.values()}
-        return [b"".join([seen[p].tobytes() if type(p) is str else own[p] for p in parts]) for parts in cut]
+        return [b"".join([seen[p] if type(p) is str else own[p] for p in parts]) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
