@@ -168,6 +168,8 @@ def boxes(data, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes,
             raise ValueError(f"box {kind!r} at {start} does not fit")
         yield kind, start + head, start + size
         start += size
+    if bytes(data[start:end]).strip(b"\0"):  # a list may end in zeros
+        raise ValueError("a box header is cut off")
 
 
 def read_container(data) -> list[Track]:

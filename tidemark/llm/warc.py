@@ -60,9 +60,14 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def quoted(url: str) -> str:
+    """The URL without white space and control characters, which would end its line."""
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit if it refers to another page."""
-    uri = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
+    uri = quoted(url) if url else f"urn:page:{page_id}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = {
@@ -153,7 +158,7 @@ class Archive:
         self.read = read
         members = zip_members(read, size)
         self.start, self.length = member_range(read, members[DATA])
-        self.index = [json.loads(line.split(" ", 2)[2]) for line in read(*member_range(read, members[INDEX])).decode().splitlines()]
+        self.index = [json.loads(line.split(" ", 2)[2]) for line in read(*member_range(read, members[INDEX])).decode().split("\n") if line]
 
     def record(self, entry: dict) -> dict:
         offset, length = int(entry["offset"]), int(entry["length"])
@@ -167,7 +172,7 @@ def build_archive(records: list[tuple[str, bytes]]) -> bytes:
     data, lines, at = [], [], 0
     for url, record in records:
         packed = gzip.compress(record, 6, mtime=0)
-        lines.append(f"{url.replace(' ', '%20') or '-'} {re.sub('[^0-9]', '', DATE)} " + json.dumps({"offset": at, "length": len(packed), "filename": DATA.rpartition("/")[2]}))
+        lines.append(f"{quoted(url) or '-'} {re.sub('[^0-9]', '', DATE)} " + json.dumps({"offset": at, "length": len(packed), "filename": DATA.rpartition("/")[2]}))
         data.append(packed)
         at += len(packed)
     out = io.BytesIO()
