@@ -81,8 +81,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op5_ngram_jaccard_join, op6_bpe, op7_mixing, op8_line_dedup, op9_warc, op10_license_scans)}
 
 
+def _secret_sql() -> str:
+    """Matches of each kind, and the texts between them, give the offsets; case is spelled out, as (?i) reaches beyond ASCII."""
+    rules = []
+    for i, (kind, pattern, group, least) in enumerate(secrets.BASE + secrets.EXTRA):
+        text = pattern.pattern
+        if kind == "assign":
+            names, rest = text.split(")", 1)
+            text = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names) + ")" + rest
+        text = text.replace("'", "''")
+        rules.append(f"SELECT r, t, '{kind}' AS kind, {i} AS ord, {least} AS least, regexp_extract_all(t, '{text}') AS m, regexp_extract_all(t, '{text}', {group}) AS g, string_split_regex(t, '{text}') AS s FROM d")
+    base = ", ".join(f"'{kind}'" for kind, *_ in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind, *_ in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(rules)}),
+e AS (SELECT r, kind, ord, least, m, g, s, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+p AS (
+  SELECT r, kind, ord, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM e WHERE length(g[i]) >= least),
+j AS (SELECT r, kind, ord, CAST(a AS BIGINT) AS a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM p)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY a, ord), '') AS spans
+FROM d LEFT JOIN j ON d.r = j.r GROUP BY d.r, d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scans": _secret_sql(),
         "op2_chat_formatting": r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

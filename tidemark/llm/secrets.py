@@ -37,12 +37,12 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
 EXTRA = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"), 0, 1),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 1),
-    ("forge", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 1),
-    ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1),
-    ("cloud", re.compile(r"AIza[A-Za-z0-9_-]{35}"), 0, 1),
-    ("login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@"), 0, 1),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", re.ASCII), 0, 1),
+    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", re.ASCII), 0, 1),
+    ("forge", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}", re.ASCII), 0, 1),
+    ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}", re.ASCII), 0, 1),
+    ("cloud", re.compile(r"AIza[A-Za-z0-9_-]{35}", re.ASCII), 0, 1),
+    ("login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@", re.ASCII), 0, 1),
 )
 #: A literal that every match of the kind holds; texts without it are not searched for the kind.
 NEEDLES = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ", "forge": "gh", "chat": "xox", "cloud": "AIza", "login": "://"}
