@@ -43,7 +43,6 @@ from tidemark.llm.components import components
 SKETCH_BITS = 20
 BLOCKS = 64
 MOST_SUBSETS = 1200
-WORD_MEMORY = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,37 +66,69 @@ class Rule:
         return sum(comb(n, k) for k in range(n - self.need(n) + 1))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_WORDS = _WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a text that are hashed at once; cut at white space.
+CHUNK = 1 << 20
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _P)
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """The powers of _P and of its inverse modulo 2**64, up to n."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for which, base in enumerate((_P, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[which] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word: a polynomial over its bytes, from running sums over the text, then mixed."""
+    out = []
+    while text:
+        cut = len(text)
+        if cut > CHUNK:
+            cut = next((i for i in range(CHUNK, cut) if text[i] in b" \t\n\x0b\x0c\r"), cut)
+        data, text = np.frombuffer(text[:cut], np.uint8), text[cut:]
+        n = len(data)
+        inside = np.zeros(n + 2, bool)
+        np.logical_not(_SPACES[data], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        powers, inverse = _power_tables(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * powers[:n], out=sums[1:])
+        out.append(mix((sums[ends] - sums[starts]) * inverse[starts]))
+    return np.concatenate(out) if len(out) != 1 else out[0]
+
+
 def shingles(text: str | bytes | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of the ``width``-grams of a text's words (split at ASCII white space, A-Z lower-cased)."""
-    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
-    n = len(words)
+    raw = (text.encode() if isinstance(text, str) else text or b"").lower()
+    h = word_hashes(raw) if raw else np.zeros(0, np.uint64)
+    n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > WORD_MEMORY:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+        return h
     short = min(width, n)
     x = h[: n - short + 1].copy()
     for k in range(1, short):
-        x = x * _P + h[k : n - short + 1 + k]
+        x *= _P
+        x += h[k : n - short + 1 + k]
     if n < width:
         x = x * _P + np.uint64(n)
-    return np.unique(mix(x))
+    x = mix(x)
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
 def _sets(width: int, keep: bool):
