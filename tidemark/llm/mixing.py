@@ -7,13 +7,13 @@ all its documents (floor of target / size) and one more of some: documents in th
 less than half of it stands beyond what is missing. So the words taken miss the target by at most half a document, no
 document is taken more than MAX_EPOCHS times, and reruns agree.
 
-Scale: sizes are summed by (source, slot) before any shuffle of rows, where a slot is one of ``SLOTS`` ranges of the digest.
+Scale: sizes are summed by (source, slot) before any shuffle of rows, where a slot is one of ``16 ** SLOT_DIGITS`` ranges of the digest.
 Prefix sums over slots give each source the one slot in which its last document lies; only documents of that slot are ranked
-one by one (a source with a third of all rows puts 1 in SLOTS of them there). The water level is found by rounds of
+one by one (a source with a third of all rows puts one in 4096 of them there). The water level is found by rounds of
 aggregates over the table of sources; only sums and counts reach the driver.
 
 Defined results: a null text has size 0; a null source is a source of its own; documents without words, and sources that
-have only those, take 0 words; repeated rows count and are drawn in the order of their texts' digests; an empty table gives
+have only those, take 0 words; rows that are equal in id and size are taken equally often, each counting; an empty table gives
 no rows; other columns pass through ``mixed`` untouched.
 """
 
@@ -26,7 +26,8 @@ from tidemark.llm.common import stored
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
-SLOTS = 4096
+#: Hexadecimal digits of the digest that number a slot.
+SLOT_DIGITS = 3
 SEED = "mix-1"
 
 
@@ -65,7 +66,7 @@ def water_fill(sources: DataFrame, budget: int, max_epochs: float = MAX_EPOCHS)
 def _keyed(docs: DataFrame, seed: str, *more: str) -> DataFrame:
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     own = docs.select(*more, F.col("doc_id").cast("bigint").alias("__id"), F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"), digest.alias("__digest"))
-    return own.withColumn("__slot", F.conv(F.substring("__digest", 1, 3), 16, 10).cast("int"))
+    return own.withColumn("__slot", F.conv(F.substring("__digest", 1, SLOT_DIGITS), 16, 10).cast("int"))
 
 
 def _words() -> Column:

@@ -7,7 +7,7 @@ paths and versions hold it, appends to the ledger, and joins findings back to al
 
 Only ids and digests are shuffled to find the unseen blobs (aggregated before the shuffle, so a blob that a third of all
 paths share costs one row a task); texts travel once, compressed, to meet the blob that they stand for. A task that is lost
-is computed again from the input; the ledger changes only by whole written tables, whose names a manifest row carries.
+is computed again from the input; the ledger grows only by whole written parts, and a row is a whole blob's findings.
 
 Rules: ``BASE`` kinds are found leftmost and without overlap, each kind on its own; matches whose secret is too short are
 dropped afterwards. ``EXTRA`` kinds are this operator's own and only add spans. Offsets are code points, ends exclusive.
