@@ -322,16 +322,25 @@ def shared_lists(posted: DataFrame, rule: Rule) -> DataFrame:
     return stored(ordered.mapInArrow(run, LISTS), "lists")
 
 
-def _rows_against(rule: Rule, g: dict[str, np.ndarray], start: int, end: int):
-    """Pairs of one list, sorted by size, whose members are in different classes."""
-    n, pos, node, comp = (g[c][start:end] for c in ("n", "pos", "node", "comp"))
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    low = np.searchsorted(n, -(-rule.num * n // rule.den))
-    for k in range(1, end - start):
-        other = np.arange(low[k], k)
-        ok = other[(comp[other] != comp[k]) & _possible(rule, n[other], n[k], pos[other], pos[k])]
-        if len(ok):
-            yield np.minimum(node[ok], node[k]), np.maximum(node[ok], node[k])
+def _pairs_apart(rule: Rule, g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of lists sorted by size whose members are in different classes, by their distance in the list, all lists at once.
+    A member leaves when its list ends or the other's size is out of reach, as all further ones are."""
+    key, node, comp = g["key"], g["node"], g["comp"]
+    n, pos = g["n"].astype(np.int64), g["pos"].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    apart = np.concatenate(([False], (comp[1:] != comp[:-1]) & (key[1:] == key[:-1])))
+    left = np.flatnonzero(np.repeat(np.add.reduceat(apart, starts, dtype=np.int64) > 0, np.diff(np.concatenate((starts, [len(key)])))))
+    far = 0
+    while len(left):
+        far += 1
+        left = left[left + far < len(key)]
+        right = left + far
+        near = (key[right] == key[left]) & (n[left] >= -(-rule.num * n[right] // rule.den))
+        left, right = left[near], right[near]
+        ok = (comp[left] != comp[right]) & _possible(rule, n[left], n[right], pos[left], pos[right])
+        if ok.any():
+            a, b = node[left[ok]], node[right[ok]]
+            yield np.minimum(a, b), np.maximum(a, b)
 
 
 def cross_pairs(lists: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -339,15 +348,8 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["key", "n", "node", "pos", "comp"]):
-            key = g["key"]
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            ends = np.concatenate((starts[1:], [len(key)]))
-            mixed = np.add.reduceat(np.concatenate(([False], (g["comp"][1:] != g["comp"][:-1]) & (key[1:] == key[:-1]))), starts) > 0
-            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                found = list(_rows_against(rule, g, s, e))
-                if found:
-                    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for a, b in _pairs_apart(rule, g):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     met = lists.join(classes.select(F.col("node").alias("cn"), "component"), F.col("node") == F.col("cn"), "left")
     rows = met.select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
