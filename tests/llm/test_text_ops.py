@@ -5,6 +5,7 @@ import re
 import struct
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -76,6 +77,35 @@ def test_quality_weights_separate_and_filter_agrees(spark):
     assert quality.keep_good(docs.where("false"), labels).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables here")
+def test_quality_rejects_junk_on_larger_tables_too(spark):
+    from tidemark.llm import queries
+
+    shares, sizes = [], []
+    for sf in ("sf0.01", "sf0.1"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        label = {r["doc_id"]: r["quality"] for r in labels.where("coalesce(toxic, 0) = 0").collect()}
+        rows = [r for r in queries.op3_quality_rules(spark, f"/root/testdata/{sf}").collect() if not r["base_failed"]]
+        kept = lambda rows: sum(r["kept"] for r in rows) / len(rows)
+        junk = kept([r for r in rows if r["n_symbols"] > 0.3 * r["n_words"]])
+        bad, good = (kept([r for r in rows if label.get(r["doc_id"]) == q]) for q in (0, 1))
+        assert good > 0.99 and junk < 0.02 and bad < 0.02, (sf, good, junk, bad)
+        shares.append(junk)
+        sizes.append(len(quality.fit(docs, labels)))
+    assert shares[1] <= shares[0] and sizes[0] < sizes[1]
+
+
+def test_quality_buckets_and_threshold_follow_the_input(spark):
+    assert [quality.buckets_for(n) for n in (0, quality.LOAD * quality.BUCKETS, quality.LOAD * quality.BUCKETS + 1, 10**8)] == [quality.BUCKETS, quality.BUCKETS, 2 * quality.BUCKETS, 1 << 23]
+    docs = frame(spark, [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"])
+    labels = spark.createDataFrame([(i, int(i < 4), 0) for i in range(8)], "doc_id bigint, quality int, toxic int")
+    weights = quality.fit(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_report(docs, weights).collect()}
+    least = quality.fit_threshold(docs, labels, weights)
+    assert max(scores[i] for i in range(4, 8)) < least < min(scores[i] for i in range(4))
+    assert quality.fit_threshold(docs, labels.where("quality = 1"), weights) == quality.THRESHOLD
+
+
 # -- chat formatting
 
 CONTROL = ["<|turn|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\|", "<\\\\s>", "\\", "<", "|", "\n", "<|image:0|>", "x", "é"]

@@ -40,8 +40,9 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.quality_report(docs, quality.fit_weights(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels)
+    return quality.quality_report(docs, weights, quality.fit_threshold(docs, labels, weights))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
