@@ -198,6 +198,14 @@ def test_licence_expressions_and_frame(spark):
     assert [tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) for r in rows] == [brute_licence(t) for t in TEXTS]
 
 
+def test_malformed_expressions_keep_all_identifiers_before_the_stop():
+    scan = lambda x: licenses.scan_text(f"SPDX-License-Identifier: {x}")
+    assert scan("MIT AND (Apache-2.0")["labels"] == "apache-2.0,malformed,mit"
+    assert scan("MIT AND (Apache-2.0")["score"] == pytest.approx(1 - 0.1 * 0.1 * 0.8)
+    assert scan("(MIT OR ISC AND) Zlib")["labels"] == "isc,malformed,mit"
+    assert scan("AND MIT")["labels"] == "malformed"
+
+
 # -- BPE
 
 

@@ -11,7 +11,7 @@ whether it permits reuse under ``PERMISSIVE``. The score is the probability-like
 weight) over the distinct labels found, between 0 and 1.
 
 Defined results: a null or empty text has no words, no places, empty label strings and score 0; a malformed expression
-keeps the labels of its identifiers and the label ``malformed``; repeated rows give a row each; other columns are not read.
+keeps the labels of all identifiers before the place where the parser stops, and the label ``malformed``; repeated rows give a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,29 +55,37 @@ def fold_words(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
+class Malformed(ValueError):
+    """``labels``: the identifiers up to the place where the parser stopped."""
+
+    def __init__(self, why: str, out: list[str]):
+        super().__init__(why)
+        self.labels = [x for x in out if x not in _RANK]
+
+
 def parse(expression: str) -> list[str]:
-    """Reverse Polish form of a licence expression; ValueError if it is malformed."""
+    """Reverse Polish form of a licence expression; Malformed, a ValueError, if it is that."""
     out, ops, want = [], [], True  # want: an operand comes next
     for token in _TOKEN.findall(expression):
         word = token.upper()
         if word in _RANK:
             if want:
-                raise ValueError(f"{token} without a left side")
+                raise Malformed(f"{token} without a left side", out)
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[word]:
                 out.append(ops.pop())
             ops.append(word)
             want = True
         elif token == "(":
             if not want:
-                raise ValueError("( after an operand")
+                raise Malformed("( after an operand", out)
             ops.append(token)
         elif token == ")":
             if want:
-                raise ValueError(") without an operand")
+                raise Malformed(") without an operand", out)
             while ops and ops[-1] != "(":
                 out.append(ops.pop())
             if not ops:
-                raise ValueError("unbalanced )")
+                raise Malformed("unbalanced )", out)
             ops.pop()
         elif want:
             out.append(token.lower())
@@ -85,7 +93,7 @@ def parse(expression: str) -> list[str]:
         else:
             break  # prose after the expression
     if want or "(" in ops:
-        raise ValueError("it ends early")
+        raise Malformed("it ends early", out)
     return out + ops[::-1]
 
 
@@ -134,8 +142,8 @@ def scan_text(text: str) -> dict:
         try:
             found, free = evaluate(expression)
             permissive = free if permissive is None else permissive and free
-        except ValueError:
-            found = [x.lower() for x in _TOKEN.findall(expression) if x.upper() not in _RANK and x not in "()"][:1] + ["malformed"]
+        except Malformed as e:
+            found = [*e.labels, "malformed"]
         labels.update(x.replace(",", " ") for x in found)
     rest = 1.0
     for label in sorted(labels | base):
