@@ -1,13 +1,13 @@
 """Chat formatting with typed content parts, as DataFrame expressions only.
 
-A message is (role, parts); a part is a struct (kind, text, uri, units). ``flatten_parts`` visits the parts in order: a text
-part becomes its escaped text, every other kind becomes one placeholder ``<|kind:k|>`` (k counts attachments in the
+A message is (role, parts); a part is a struct (kind, text, uri, units). ``flatten_parts`` visits the parts in order: a run of text
+parts becomes its escaped text (joined first, so that no control string hides across parts), every other kind becomes one placeholder ``<|kind:k|>`` (k counts attachments in the
 conversation from 0) and an attachment record with its reference, its place and the number of tokens the placeholder expands
 to (``units`` times the kind's rate in ``EXPANSION``).
 
 Template: every turn is ``<|turn|>ROLE\\nCONTENT<|end|>\\n``. Control strings (``CONTROL``) inside texts are escaped by one
 backslash after their first character, and those that already carry backslashes there by one more, so escaping is
-reversible and an escaped text never holds a control string of the template. Loss spans are the contents of assistant turns.
+reversible and an escaped text never holds a control string of the template, in however many parts it came. Loss spans are the contents of assistant turns.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, so ties and repeated rows give one order; a null
 text is empty, a null role is the empty role; a conversation with a null id is a conversation of its own; an empty table
@@ -72,16 +72,18 @@ def flatten_parts(turns: Column) -> Column:
             mark = F.concat(F.lit("<|"), F.regexp_replace(F.coalesce(part["kind"], F.lit("")), r"[^a-z0-9_]", "_"), F.lit(":"), k.cast("string"), F.lit("|>"))
             record = F.array(F.struct(F.size(acc["turns"]).alias("turn"), inner["at"].alias("part"), part["kind"].alias("kind"), part["uri"].alias("uri"), mark.alias("placeholder"), _tokens(part).alias("tokens")))
             return F.struct(
-                F.concat(inner["content"], F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)).alias("content"),
+                F.when(_is_text(part), inner["content"]).otherwise(F.concat(inner["content"], escape(inner["open"]), mark)).alias("content"),
+                F.when(_is_text(part), F.concat(inner["open"], F.coalesce(part["text"], F.lit("")))).otherwise(F.lit("")).alias("open"),  # text since the last attachment
                 F.when(_is_text(part), inner["attachments"]).otherwise(F.concat(inner["attachments"], record)).alias("attachments"),
                 (inner["at"] + 1).alias("at"),
             )
 
-        flat = F.aggregate(F.coalesce(turn["parts"], F.array().cast(f"array<{PART}>")), F.struct(F.lit("").alias("content"), empty.alias("attachments"), F.lit(0).alias("at")), visit_part)
+        start = F.struct(F.lit("").alias("content"), F.lit("").alias("open"), empty.alias("attachments"), F.lit(0).alias("at"))
+        flat = F.aggregate(F.coalesce(turn["parts"], F.array().cast(f"array<{PART}>")), start, visit_part)
         return let(
             flat,
             lambda f: F.struct(
-                F.concat(acc["turns"], F.array(F.struct(turn["role"].alias("role"), f["content"].alias("content"), f["attachments"].alias("attachments")))).alias("turns"),
+                F.concat(acc["turns"], F.array(F.struct(turn["role"].alias("role"), F.concat(f["content"], escape(f["open"])).alias("content"), f["attachments"].alias("attachments")))).alias("turns"),
                 (acc["seen"] + F.size(f["attachments"])).alias("seen"),
             ),
         )

@@ -65,12 +65,14 @@ class Malformed(ValueError):
 
 def parse(expression: str) -> list[str]:
     """Reverse Polish form of a licence expression; Malformed, a ValueError, if it is that."""
-    out, ops, want = [], [], True  # want: an operand comes next
+    out, ops, want, last = [], [], True, ""  # want: an operand comes next
     for token in _TOKEN.findall(expression):
-        word = token.upper()
+        word, before, last = token.upper(), last, token
         if word in _RANK:
             if want:
                 raise Malformed(f"{token} without a left side", out)
+            if word == "WITH" and (before == ")" or ops and ops[-1] == "WITH"):
+                raise Malformed("WITH takes a single licence", out)
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[word]:
                 out.append(ops.pop())
             ops.append(word)
@@ -78,6 +80,8 @@ def parse(expression: str) -> list[str]:
         elif token == "(":
             if not want:
                 raise Malformed("( after an operand", out)
+            if ops and ops[-1] == "WITH":
+                raise Malformed("WITH takes a single exception", out)
             ops.append(token)
         elif token == ")":
             if want:
