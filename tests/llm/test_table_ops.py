@@ -62,6 +62,21 @@ def test_mix_meets_targets(spark, seed):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mix_takes_ties_row_by_row(spark):
+    rows = [(7, "w " * 8, "b")] * 400 + [(None, f"n{i % 9} " * (1 + i % 3), "c") for i in range(300)] + [(i, "a " * 40, "a") for i in range(100)]
+    docs = docs_of(spark, rows).withColumns({c: F.lit("mine") for c in ("__size", "__copy", "__row", "__rank", "__text")})
+    sizes, by_source, target = brute_mix(rows)
+    got = mixing.mix(docs).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["__size"] * r["__epochs"]
+    assert len(got) == len(rows) and {s: abs(taken[s] - target[s]) <= 20 for s in target} == dict.fromkeys(target, True)
+    key = lambda r: str((r["source"], r["text"], r["__epochs"]))
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(docs.repartition(7)).collect()))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() == sum(r["__epochs"] for r in got) and {r["__size"] for r in out.collect()} == {"mine"}
+
+
 # -- line dedup
 
 
@@ -94,6 +109,19 @@ def test_line_dedup_equals_brute_force(spark, shard):
     assert linededup.dedup_lines(docs.where("false"), shard).count() == 0
 
 
+def test_line_dedup_with_clashing_names_and_many_null_ids(spark):
+    names = ("__drops", "__drop_id", "__drop_row", "__n_lines", "__n_dropped", "row")
+    rows = [(i, f"the line of all of them\nown {i} line of one", "s") for i in range(20)]
+    docs = docs_of(spark, rows).withColumns({c: F.lit("mine") for c in names})
+    out = linededup.without_shared_lines(docs)
+    assert out.columns == docs.columns and all(r[c] == "mine" for r in out.collect() for c in names)
+    twice = linededup.dedup_lines(linededup.dedup_lines(docs))
+    assert len(twice.columns) == len(set(twice.columns)) and sum(r["__n_dropped"] for r in twice.collect()) == 0
+    many = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('a line that all of them hold\n', 'their own line ', id % 50000, '\nits own line number ', id) AS text", "'s' AS source")
+    found = linededup.dropped_lines(many.unionByName(docs_of(spark, [(1, "a line that all of them hold", "s")])))
+    assert found.count() == 100_000 and found.agg(F.max(F.size("drops"))).first()[0] == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.tuples(st.integers(0, (1 << 64) - 1), st.integers(0, (1 << 64) - 1)), max_size=300))
 def test_perfect_hash_is_minimal_and_perfect(keys):
@@ -172,6 +200,45 @@ def test_classes_equal_brute_force(spark, rule, monkeypatch):
     assert len({c for *_, c in want}) < len(want)
 
 
+@pytest.mark.parametrize("rule", [setjoin.Rule(3, 90, 100), setjoin.Rule(5, 80, 100)])
+def test_dealt_lists_lose_no_link(spark, rule):
+    template = " ".join(f"t{i}" for i in range(30))
+    rows = [(i, t, "s") for i, t in enumerate(near_copies(9) + [f"{template} a{i} b{i % 5} c{i % 3} d{i % 2}" for i in range(40)] + [f"page {i} of the one big site here and now" for i in range(30)])]
+    docs = docs_of(spark, rows)
+    want = {(d, c) for d, _, c in brute_classes(rows, rule)}
+    marks = setjoin.set_marks(docs, rule)
+    for parts, long in ((5, 2), (3, 20)):
+        found = setjoin.classes(docs, rule, parts, long)
+        assert {(r["doc_id"], r["component_id"]) for r in marks.join(found, ["s1", "s2"]).collect()} == want
+
+
+def test_subsets_are_enumerated_where_they_cost_less(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for rule in (setjoin.Rule(3, 90, 100), setjoin.Rule(5, 80, 100)):
+        sets = setjoin.distinct_sets(docs, rule)
+        sketch = spark.sparkContext.broadcast(setjoin.token_sketch(sets, rule))
+        costs = setjoin.sizes_and_costs(sets, rule, sketch)
+        small = setjoin.boundary(costs, rule)
+        assert sum(n for size, (n, _) in costs.items() if size <= small) > 0
+        posted = setjoin.postings(sets, rule, sketch, small, sets.count())
+        assert posted.where("pos < 0").count() > 0 and posted.where("pos >= 0").count() > 0
+    assert setjoin.boundary({n: (10, 10) for n in range(20)}, setjoin.Rule(5, 80, 100)) == 3  # sets of four would pay for their lists too
+    assert setjoin.boundary({n: (10, 10_000) for n in range(20)}, setjoin.Rule(5, 80, 100)) > 9
+
+
+def test_representatives_row_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "x"), (None, text, "x"), (9, text, "x"), (4, text + " more", "x"), (4, "another text of id four that has no copy at all", "x"), (None, "no id has this text at all", "x"), (None, "no id has this text at all", "y"), (None, None, "x"), (5, "", "x")]
+    names = ("__gone", "__n", "__s1", "__keeper", "component_id", "s1")
+    docs = docs_of(spark, rows).withColumns({c: F.lit("mine") for c in names})
+    out = setjoin.keep_representatives(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and all(r[c] == "mine" for r in got for c in names)
+    kept = sorted(str((r["doc_id"], (r["text"] or "")[:9])) for r in got)
+    assert kept == sorted(map(str, [(4, "w0 w1 w2 "), (4, "another t"), (None, "no id has"), (None, ""), (5, "")]))
+    assert setjoin.keep_representatives(docs.where("false")).count() == 0
+
+
 def test_classes_with_null_and_repeated_ids_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(None, text, "s"), (9, text, "s"), (9, text, "s"), (4, text + " more", "s"), (None, "alone alone alone", "s")]

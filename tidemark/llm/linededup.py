@@ -1,22 +1,25 @@
-"""Line dedup by a sharded minimal perfect hash over the hashes of shared lines.
+"""Line dedup by a sharded minimal perfect hash over all distinct line hashes.
 
 A line's key is the line without white space at both ends, ASCII letters lower-cased; keys under ``LEAST`` code points are
 left alone. A key that two or more documents hold loses all its lines except in the document of smallest id.
 
-1. Every document gives each of its keys once, as a 128-bit hash with its id (a written table of 24 bytes a row).
-2. Smallest and largest id of each hash are aggregated, map side first; hashes with two ids are the shared ones.
-3. Shared hashes are dealt into shards of about ``SHARD`` keys. A shard is a minimal perfect hash (levels of bit arrays, as
-   in the published BBHash scheme) and, in its order, arrays of 64-bit fingerprints, document counts and keeping ids.
-4. Documents probe the arrays: hashes meet their shard, salted so that no group passes about ``SHARD`` rows however often one
-   line occurs; each probe is one position, one fingerprint comparison and one look at the keeping id. No line is joined.
+1. Every document gives each of its keys once, as a 128-bit hash with its id (a written table of 32 bytes a row).
+2. Rows are aggregated by hash, map side first: the smallest id, and in how many documents the line is.
+3. All distinct hashes are dealt into shards of about ``SHARD`` keys. A shard is a minimal perfect hash (levels of bit arrays, as
+   in the published BBHash scheme) and, in its order, arrays of 64-bit fingerprints, one-byte document counts (``MOST`` stands
+   for that many and more) and keeping ids.
+4. Documents probe the arrays: hashes meet their shard, salted so that a group holds about ``SHARD`` rows however often one line
+   occurs; each probe is one position, one fingerprint comparison, one look at the count and, where it is 2 or more, at the keeping
+   id. No line is joined.
 5. Only lines to drop go back to their documents.
 
 A hash outside the set lands on some position and is rejected by its fingerprint; position and fingerprint together are all
 128 bits of the hash.
 
 Defined results: a null or empty text is one empty line and stays as it is; rows with the same doc_id are one document, so
-all of them keep or lose a line; a null doc_id counts as one document, after all others; texts whose lines all go become
-empty; an empty table gives no rows; other columns pass through ``dedup_lines`` untouched.
+all of them keep or lose a line; a null doc_id counts as one document, after all others (its rows are still dealt and met one by
+one, by a hash of id and text); texts whose lines all go become empty; an empty table gives no rows; other columns pass through
+untouched, whatever their names, but for those that ``dedup_lines`` is asked to write.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import columns_of, stored, unused
 
 LEAST = 10
 SHARD = 1 << 18
 GAMMA, LEVELS = 2.0, 40
+MOST = 255
+#: Hashes that a task sends at once.
+SEND = 1 << 16
 LAST_ID = (1 << 63) - 1
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -114,25 +120,41 @@ class PerfectHash:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """__id, text -> h1, h2, id: each key of a row once."""
+    """id, row, text -> h1, h2, id, row: each key of a row once."""
+    hashes: list[bytes] = []
+    owners: list[tuple[int, int, int]] = []  # id, row, how many hashes
+
+    def packed() -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        ids, rows, counts = np.array(owners, np.int64).reshape(-1, 3).T
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(rows, counts))], names=["h1", "h2", "id", "row"])
+
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
-            hashes, counts = [], []
-            for text in part.column(1).to_pylist():
-                keys = dict.fromkeys(line_keys(text)) if text else {}
-                keys.pop(b"", None)
-                hashes += map(hash_key, keys)
-                counts.append(len(keys))
-            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64())], names=["h1", "h2", "id"])
+        for id_, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if not (text := text.as_py()):
+                continue
+            keys = dict.fromkeys(line_keys(text))
+            keys.pop(b"", None)
+            hashes += map(hash_key, keys)
+            owners.append((id_, row, len(keys)))
+            if len(hashes) >= SEND:
+                yield packed()
+                hashes.clear()
+                owners.clear()
+    if hashes:
+        yield packed()
+
+
+def _identity(docs: DataFrame) -> tuple[Column, Column]:
+    """The id of a row's document, and a hash that tells apart rows of one id whose texts differ."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """(h1, h2, id): every key of every document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_emit, "h1 bigint, h2 bigint, id bigint")
+    """(h1, h2, id, row): every key of every document."""
+    id_, row = _identity(docs)
+    rows = docs.select(id_.alias("id"), row.alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_emit, "h1 bigint, h2 bigint, id bigint, row bigint")
 
 
 def _as_u64(column: pa.ChunkedArray) -> np.ndarray:
@@ -146,80 +168,91 @@ def _build_shard(keys: pa.Table) -> pa.Table:
     a, b = _as_u64(keys["h1"]), _as_u64(keys["h2"])
     index = PerfectHash.build(a, b)
     at = index.find(a, b)
-    fingerprints, counts, keepers = np.empty(len(a), np.uint64), np.empty(len(a), np.uint32), np.empty(len(a), np.int64)
+    fingerprints, counts, keepers = np.empty(len(a), np.uint64), np.empty(len(a), np.uint8), np.empty(len(a), np.int64)
     fingerprints[at] = b
-    counts[at] = np.minimum(keys["n"].to_numpy(), (1 << 32) - 1)
+    counts[at] = np.minimum(keys["n"].to_numpy(), MOST)
     keepers[at] = keys["keeper"].to_numpy()
     sizes, bits = index.pack()
     return pa.table({"shard": keys["shard"][:1].combine_chunks(), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([bits], pa.binary()), "fingerprints": pa.array([fingerprints.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "keepers": pa.array([keepers.tobytes()], pa.binary())})
 
 
 def build_index(hashes: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """The index over the shared hashes of ``hashes``, one row a shard, and the number of shards."""
+    """The index over all distinct hashes of ``hashes``, one row a shard, and the number of shards."""
     ids = hashes.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = stored(ids.where("keeper < last").select("h1", "h2", "keeper", "n"), "shared-lines")
-    shards = max(1, -(-shared.count() // shard))
-    rows = shared.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
+    # Rows of one id are one document: a line that only they hold is in one.
+    distinct = stored(ids.select("h1", "h2", "keeper", F.when(F.col("keeper") < F.col("last"), F.col("n")).otherwise(F.lit(1)).alias("n")), "distinct-lines")
+    shards = max(1, -(-distinct.count() // shard))
+    rows = distinct.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
     return stored(rows.groupBy("shard").applyInArrow(_build_shard, INDEX), "line-index"), shards
 
 
 def _probe(rows: pa.Table, index: pa.Table) -> pa.Table:
-    out = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
     if not rows.num_rows or not index.num_rows:
         return out.empty_table()
     one = index.slice(0, 1).to_pylist()[0]
     perfect = PerfectHash.unpack(one["sizes"], one["bits"])
+    fingerprints, counts, keepers = (np.frombuffer(one[c], kind) for c, kind in (("fingerprints", np.uint64), ("counts", np.uint8), ("keepers", np.int64)))
     a, b = _as_u64(rows["h1"]), _as_u64(rows["h2"])
     at = perfect.find(a, b)
     safe = np.maximum(at, 0)
-    drop = (at >= 0) & (np.frombuffer(one["fingerprints"], np.uint64)[safe] == b) & (np.frombuffer(one["keepers"], np.int64)[safe] != rows["id"].to_numpy())
-    return rows.select(["id", "h1", "h2"]).filter(pa.array(drop)).cast(out)
+    drop = (at >= 0) & (fingerprints[safe] == b) & (counts[safe] >= 2) & (keepers[safe] != rows["id"].to_numpy())
+    return rows.select(["id", "row", "h1", "h2"]).filter(pa.array(drop)).cast(out)
 
 
 def dropped_lines(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(id, drops): for each document that loses lines, the hashes of their keys."""
+    """(id, row, drops): for each document that loses lines, the hashes of their keys."""
     hashes = stored(line_hashes(docs), "line-hashes")
     index, shards = build_index(hashes, shard)
     rows = hashes.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
     salts = stored(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).alias("salts")), "line-salts").withColumnRenamed("shard", "s")
-    probes = rows.join(salts, F.col("shard") == F.col("s")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("shard", "salt", "id", "h1", "h2")
-    copies = index.join(salts, F.col("shard") == F.col("s")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("s", "salts", "counts")
-    found = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe, "id bigint, h1 bigint, h2 bigint")
-    return found.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
-
-
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops lines from text; __drops gives way to __n_lines and __n_dropped."""
-    for batch in batches:
-        names = batch.schema.names
-        place = names.index("text")
-        texts, lines, gone = [], [], []
-        for text, drops in zip(batch.column(place).to_pylist(), batch.column(names.index("__drops")).to_pylist(), strict=True):
-            n = (text or "").count("\n") + 1
-            dropped = 0
-            if drops:
-                bad = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in drops}
-                kept = [line for line, key in zip(text.split("\n"), line_keys(text), strict=True) if not key or hash_key(key) not in bad]
-                dropped, text = n - len(kept), "\n".join(kept)
-            texts.append(text)
-            lines.append(n)
-            gone.append(dropped)
-        columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i, name in enumerate(names) if name != "__drops"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[x for x in names if x != "__drops"] + ["__n_lines", "__n_dropped"])
-
-
-def dedup_lines(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """``docs`` with shared lines gone from ``text``, and __n_lines (before) and __n_dropped."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    drops = dropped_lines(docs, shard).withColumnsRenamed({"id": "__drop_id", "drops": "__drops"})
-    met = docs.join(drops, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)) == F.col("__drop_id"), "left").drop("__drop_id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    return met.mapInArrow(_rewrite, schema)
+    probes = rows.join(salts, F.col("shard") == F.col("s")).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).select("shard", "salt", "id", "row", "h1", "h2")
+    copies = index.join(salts, F.col("shard") == F.col("s")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("s", "salts")
+    found = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe, "id bigint, row bigint, h1 bigint, h2 bigint")
+    return found.groupBy("id", "row").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+
+
+def _rewriter(drops: str, added: tuple[str, str]):
+    """Drops lines from text; the column ``drops`` gives way to the numbers of lines before and of those dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            place = names.index("text")
+            texts, lines, gone = [], [], []
+            for text, found in zip(batch.column(place), batch.column(names.index(drops)), strict=True):
+                text, found = text.as_py(), found.as_py()
+                n = (text or "").count("\n") + 1
+                dropped = 0
+                if found:
+                    bad = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in found}
+                    kept = [line for line, key in zip(text.split("\n"), line_keys(text), strict=True) if not key or hash_key(key) not in bad]
+                    dropped, text = n - len(kept), "\n".join(kept)
+                texts.append(text)
+                lines.append(n)
+                gone.append(dropped)
+            columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i, name in enumerate(names) if name != drops]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*(x for x in names if x != drops), *added])
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, shard: int = SHARD, names: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
+    """``docs`` with shared lines gone from ``text``, and two columns ``names``: the number of lines before, and of those dropped.
+    Columns of the input with these names give way."""
+    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
+    id_, row = _identity(docs)
+    drop_id, drop_row, drops = unused(docs.columns, "__drop_id", "__drop_row", "__drops")
+    found = dropped_lines(docs, shard).withColumnsRenamed({"id": drop_id, "row": drop_row, "drops": drops})
+    met = docs.join(found, (id_ == F.col(drop_id)) & (row == F.col(drop_row)), "left").select(*columns_of(docs), drops)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)])
+    return met.mapInArrow(_rewriter(drops, names), schema)
 
 
 def without_shared_lines(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """``docs`` with shared lines gone, with its own columns; n_chars, where there is such a column, follows the text."""
-    out = dedup_lines(docs, shard)
+    names = tuple(unused(docs.columns, "__n_lines", "__n_dropped"))
+    out = dedup_lines(docs, shard, names)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(names[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*columns_of(docs))

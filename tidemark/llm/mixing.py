@@ -5,16 +5,18 @@ all documents together. No source may give more than ``MAX_EPOCHS`` times its si
 the excess is shared again among the others by weight until none is above. A source's target is met by whole repetitions of
 all its documents (floor of target / size) and one more of some: documents in the order of a seeded digest, each taken while
 less than half of it stands beyond what is missing. So the words taken miss the target by at most half a document, no
-document is taken more than MAX_EPOCHS times, and reruns agree.
+document is taken more than MAX_EPOCHS times, and reruns agree. Rows that repeat id, size and digest stand one after the other, and
+of such a tie only as many are taken as fit.
 
 Scale: sizes are summed by (source, slot) before any shuffle of rows, where a slot is one of ``16 ** SLOT_DIGITS`` ranges of the digest.
 Prefix sums over slots give each source the one slot in which its last document lies; only documents of that slot are ranked
-one by one (a source with a third of all rows puts one in 4096 of them there). The water level is found by rounds of
+(a source with a third of all rows puts one in 4096 of them there), rows that repeat id and size as one row with their number. Where
+the cut falls among such rows, as with many null ids, these alone are numbered, by ranges of their texts' hashes. The water level is found by rounds of
 aggregates over the table of sources; only sums and counts reach the driver.
 
 Defined results: a null text has size 0; a null source is a source of its own; documents without words, and sources that
-have only those, take 0 words; rows that are equal in id and size are taken equally often, each counting; an empty table gives
-no rows; other columns pass through ``mixed`` untouched.
+have only those, take 0 words; an empty table gives no rows; other columns, whatever their names, pass through ``mixed`` untouched, and
+through ``mix`` but for those that it is asked to write.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import columns_of, stored, unused
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -95,27 +97,50 @@ def plan(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> D
     # The rows of the slots in which the last documents lie, one by one.
     near = edges.select(F.col("__source").alias("__s"), "missing", "before", "slot")
     rows = _keyed(docs, seed).join(near, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slot") == F.col("slot")))
-    rows = rows.withColumn("__size", _words())
+    # One row for all that tie in digest, id and size.
+    ties = rows.withColumn("__size", _words()).groupBy("__source", "__digest", "__id", "__size", "missing", "before").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy("__source").orderBy("__digest", "__id", "__size")
-    start = F.col("before") + F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size")
-    taken = rows.withColumn("__start", start).where(F.col("__start") + F.col("__size") / 2 <= F.col("missing"))
-    cuts = taken.groupBy("__source").agg(F.max(F.struct("__digest", "__id", "__size")).alias("cut")).withColumnRenamed("__source", "__s")
+    start = F.col("before") + F.sum(F.col("__size") * F.col("__n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size") * F.col("__n")
+    room = F.col("missing") - F.col("__start") - F.col("__size") / 2
+    fit = F.when(room < 0, F.lit(0)).when(F.col("__size") == 0, F.col("__n")).otherwise(F.least("__n", (F.floor(room / F.col("__size")) + 1).cast("bigint")))
+    taken = ties.withColumn("__start", start).withColumn("__fit", fit.cast("bigint")).where("__fit > 0")
+    cuts = taken.groupBy("__source").agg(F.max(F.struct("__digest", "__id", "__size", "__n", "__fit")).alias("cut")).withColumnRenamed("__source", "__s")
     return stored(edges.join(cuts, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "missing", "before"), "mix-plan")
 
 
-def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __epochs, how often each row is taken. Rows that are equal in id
-    and size are taken equally often."""
-    sources = plan(docs, max_epochs, seed).select(F.col("__source").alias("__s"), F.col("size").alias("__source_size"), F.col("target").alias("__target"), "whole", "slot", "cut")
+NAMES = ("__size", "__source_size", "__target", "__epochs")
+
+
+def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: str = SEED, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with four columns ``names``: the row's size, its source's size and target, and how often the row is taken. Columns of
+    the input with these names give way."""
+    docs = docs.drop(*names)
+    sources = plan(docs, max_epochs, seed).select(F.col("__source").alias("__s"), "size", "target", "whole", "slot", "cut")
+    cut = F.struct(*(F.col(f"cut.{c}").alias(c) for c in ("__digest", "__id", "__size")))
     key = F.struct("__digest", "__id", "__size")
-    more = (F.col("__slot") < F.col("slot")) | ((F.col("__slot") == F.col("slot")) & (key <= F.col("cut")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = _keyed(docs.select(F.struct(*columns).alias("__row"), "doc_id", "text", "source"), seed, "__row").withColumn("__size", _words())
+    same = (F.col("__slot") == F.col("slot")) & key.eqNullSafe(cut)
+    partial = F.col("cut.__fit") < F.col("cut.__n")
+    keyed = _keyed(docs.select(F.struct(*columns_of(docs)).alias("__row"), "doc_id", "text", "source"), seed, "__row").withColumn("__size", _words())
     met = keyed.join(sources, F.col("__source").eqNullSafe(F.col("__s")), "left")
-    epochs = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("whole") + F.coalesce(more, F.lit(False)).cast("bigint"))
-    return met.select("__row.*", "__size", "__source_size", "__target", epochs.cast("bigint").alias("__epochs"))
+    more = (F.col("__slot") < F.col("slot")) | ((F.col("__slot") == F.col("slot")) & ((key < cut) | same))
+    tied = F.coalesce(same & partial, F.lit(False))
+
+    def out(rows: DataFrame, once_more: Column) -> DataFrame:
+        epochs = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("bigint")).cast("bigint")
+        return rows.select("__row.*", *(x.alias(name) for x, name in zip((F.col("__size"), F.col("size"), F.col("target"), epochs), names, strict=True)))
+
+    if sources.where(partial).isEmpty():  # no cut falls among equals
+        return out(met, more)
+    among = met.where(tied).withColumn("__mark", F.struct("__source", F.xxhash64("__text").alias("mark"), F.monotonically_increasing_id().alias("place")))
+    among = ranked(among, "__mark", "__rank")
+    first = among.groupBy("__source").agg(F.min("__rank").alias("__first")).withColumnRenamed("__source", "__f")
+    numbered = among.join(first, F.col("__source").eqNullSafe(F.col("__f")))
+    return out(met.where(~tied), more).unionAll(out(numbered, F.col("__rank") - F.col("__first") < F.col("cut.__fit")))
 
 
 def mixed(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns."""
-    return mix(docs, max_epochs, seed).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest("__epochs", F.lit(1))))).where("__copy <= __epochs").select(*[F.col(f"`{c}`") for c in docs.columns])
+    *names, copy = unused(docs.columns, *NAMES, "__copy")
+    epochs = F.col(names[3])
+    each = mix(docs, max_epochs, seed, tuple(names)).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(epochs, F.lit(1)))))
+    return each.where(F.col(copy) <= epochs).select(*columns_of(docs))

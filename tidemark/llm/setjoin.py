@@ -4,10 +4,14 @@ A document's set holds the hashed n-grams of its words. Documents with equal set
 ``den * |A and B| >= num * |A or B|``; the operator returns the classes that links make.
 
 * A set of n tokens can miss at most d = n - ceil(num * n / den) tokens of any partner. Small sets (n up to the boundary)
-  enumerate all their subsets of n - d to n tokens; two small sets that link share one, namely what they have in common.
+  enumerate all their subsets of n - d to n tokens; two small sets that link share one, namely what they have in common. A subset
+  of k tokens tells of no pair that needs more than k in common, so most entries go before any pair is looked at.
 * Large sets put their first d + 1 tokens, rarest first, into inverted lists. Two sets that link share one of these. Small
   sets near the boundary join the lists too, so no pair across the boundary is lost.
-* The boundary is the size at which the summed cost (subsets enumerated below it, list entries scanned above it) is least.
+* The boundary is the size at which the summed cost is least: one for each subset that is enumerated below it, and for each list
+  entry above it (and of sets near it, which pay both) the entries that its scan can meet, as the sketch below counts them. Of
+  equal costs the larger boundary is taken. It is sought among sizes with at most ``MOST_SUBSETS`` subsets; any boundary gives the
+  same result.
 * "Rarest first" is one order of all tokens: by their count in a sketch of ``1 << SKETCH_BITS`` counters over all sets, then
   by value. The sketch has a fixed size, so it can be broadcast; collisions change only how long lists are, never a result.
 
@@ -16,11 +20,15 @@ member for which the shared token comes earliest), which needs one pair a list e
 Then only members of one list that are in different classes are compared. Both comparisons first apply the length and
 position bounds and end in an exact check on whole sets. Two members of one class need no comparison, so every class is whole.
 
+A list that a token of more than one set in ``PARTS`` can make is dealt into sub-lists, as the sketch tells, so that none holds
+more than about one set in ``PARTS``. Each has a leader, leaders are compared with the first of them, and what is still in
+different classes is compared by pairs of sub-lists, each a task's work of its own.
+
 Defined results: lower-casing and words as in the docstring of ``shingles``; a document with fewer words than an n-gram is
 one token; one without words or text has the empty set, links with nothing and is its own class; rows with a null doc_id
 link as others do and never name a class unless it has null ids only; rows that repeat a doc_id are nodes by their own
-texts; an empty table gives no rows; other columns pass through ``keep_representatives`` untouched. Equality of tokens is
-equality of 64-bit hashes, equality of sets that of 128-bit hashes.
+texts; an empty table gives no rows; other columns, whatever their names, pass through ``keep_representatives`` untouched. Equality
+of tokens is equality of 64-bit hashes, equality of sets that of 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,13 +44,18 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import columns_of, stored, unused
 from tidemark.llm.components import components
 
 SKETCH_BITS = 20
 BLOCKS = 64
+#: The boundary is sought among sizes with at most so many subsets; this bounds what one small set enumerates.
 MOST_SUBSETS = 1200
+#: A list is dealt into sub-lists if its token may be in more than one set of so many, and in ``LONG`` sets at least.
+PARTS = 256
+LONG = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,6 +171,21 @@ def set_marks(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(_sets(rule.width, False), "doc_id bigint, n int, s1 bigint, s2 bigint")
 
 
+def marked(docs: DataFrame, rule: Rule, names: list[str]) -> DataFrame:
+    """Every row of ``docs`` with its set's size and mark in three more columns ``names``."""
+    width, text = rule.width, docs.columns.index("text")
+    n, s1, s2 = names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x.as_py(), width) for x in batch.column(text).cast(pa.string())]
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in found), "<i8").reshape(-1, 2)
+            more = [pa.array([len(x) for x in found], pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, n, s1, s2])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(n, T.IntegerType()), T.StructField(s1, T.LongType()), T.StructField(s2, T.LongType())]))
+
+
 def distinct_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row for each non-empty set: node, s1, s2, n, doc_id (the smallest) and one of its texts, compressed. A written table."""
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(_sets(rule.width, True), "doc_id bigint, n int, s1 bigint, s2 bigint, packed binary")
@@ -212,16 +240,15 @@ def _first_tokens(tokens: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
     return tokens[np.argsort(counts.astype(np.uint64) << np.uint64(32) | tokens >> np.uint64(32), kind="stable")[:n]]
 
 
-def boundary(sets: DataFrame, rule: Rule, sketch) -> int:
-    """The largest size whose sets enumerate subsets: where enumeration and list scans together cost least."""
+def sizes_and_costs(sets: DataFrame, rule: Rule, sketch) -> dict[int, tuple[int, int]]:
+    """Of every size up to the largest with ``MOST_SUBSETS`` subsets: how many sets have it, and what scanning their lists costs."""
     limit = 0
     while rule.subsets(limit + 1) <= MOST_SUBSETS:
         limit += 1
-    noise = float(np.mean(sketch.value))
     width = rule.width
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, scans = np.zeros(limit + 1, np.int64), np.zeros(limit + 1)
+        number, scans = np.zeros(limit + 1, np.int64), np.zeros(limit + 1, np.int64)
         counts = sketch.value
         shift = np.uint64(64 - (len(counts).bit_length() - 1))
         for _, found in _unpacked(batches, width):
@@ -229,23 +256,29 @@ def boundary(sets: DataFrame, rule: Rule, sketch) -> int:
                 n = len(tokens)
                 first = _first_tokens(tokens, counts, n - rule.need(n) + 1)
                 number[n] += 1
-                scans[n] += np.maximum(counts[(first >> shift).astype(np.int64)] - noise, 1).sum()
+                scans[n] += counts[(first >> shift).astype(np.int64)].sum(dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(limit + 1), pa.int32()), pa.array(number), pa.array(scans)], names=["n", "number", "scans"])
 
-    rows = sets.where(F.col("n") <= limit).select("packed").mapInArrow(cost, "n int, number bigint, scans double").groupBy("n").agg(F.sum("number").alias("number"), F.sum("scans").alias("scans")).collect()
-    by = {r["n"]: (r["number"] * rule.subsets(r["n"]), r["scans"]) for r in rows}  # at most ``limit`` rows
-    total = lambda x: sum(subsets if n <= x else scans for n, (subsets, scans) in by.items())
-    return min(range(limit + 1), key=lambda x: (total(x), x))
+    rows = sets.where(F.col("n") <= limit).select("packed").mapInArrow(cost, "n int, number bigint, scans bigint").groupBy("n").agg(F.sum("number").alias("number"), F.sum("scans").alias("scans")).collect()
+    return {n: (0, 0) for n in range(limit + 1)} | {r["n"]: (r["number"], r["scans"]) for r in rows}  # at most ``limit`` rows
 
 
-def postings(sets: DataFrame, rule: Rule, sketch, small: int) -> DataFrame:
-    """(key, node, n, pos): subset keys (pos -1) of small sets, list keys of large ones and of those that they can link with."""
+def boundary(costs: dict[int, tuple[int, int]], rule: Rule) -> int:
+    """The largest size whose sets enumerate subsets: where enumeration and list scans together cost least."""
+    total = lambda x: sum(number * rule.subsets(n) if n <= x else 0 for n, (number, _) in costs.items()) + sum(scans if n >= rule.need(x + 1) else 0 for n, (_, scans) in costs.items())
+    return min(costs, key=lambda x: (total(x), -x))
+
+
+def postings(sets: DataFrame, rule: Rule, sketch, small: int, nodes: int, parts: int = PARTS, long: int = LONG) -> DataFrame:
+    """(key, node, n, pos, salt, salts): subset keys of small sets (pos is -k for a subset of k tokens), list keys of large ones and
+    of those that they can link with. A list that may be long has ``salts`` sub-lists."""
     width, least = rule.width, rule.need(small + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
+        shift = np.uint64(64 - (len(counts).bit_length() - 1))
         for part, found in _unpacked(batches, width):
-            keys, places, lengths = [], [], []
+            keys, places, lengths, salts = [], [], [], []
             for tokens in found:
                 n, own = len(tokens), 0
                 if n <= small:
@@ -254,35 +287,42 @@ def postings(sets: DataFrame, rule: Rule, sketch, small: int) -> DataFrame:
                     sums = [(n - k, (whole - sum(gone)) & 0xFFFFFFFFFFFFFFFF) for k in range(n - rule.need(n) + 1) for gone in combinations(each, k)]
                     sized = np.array([s for s, _ in sums], np.uint64)
                     keys.append(mix(np.array([x for _, x in sums], np.uint64) ^ mix(sized + _P)))
-                    places.append(np.full(len(sums), -1, np.int32))
+                    places.append(-sized.astype(np.int32))
+                    salts.append(np.ones(len(sums), np.int64))
                     own += len(sums)
                 if n >= least:
                     first = _first_tokens(tokens, counts, n - rule.need(n) + 1)
                     keys.append(first)
                     places.append(np.arange(len(first), dtype=np.int32))
+                    length = counts[(first >> shift).astype(np.int64)].astype(np.int64)
+                    salts.append(np.where(length < long, 1, np.clip(length * parts // max(1, nodes), 1, parts)))
                     own += len(first)
                 lengths.append(own)
-            nodes, sizes = part.column("node").to_numpy(), np.fromiter(map(len, found), np.int32, len(found))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, lengths)), pa.array(np.repeat(sizes, lengths)), pa.array(np.concatenate(places))], names=["key", "node", "n", "pos"])
+                owners = np.repeat(part.column("node").to_numpy(), lengths)
+                sizes = np.repeat(np.fromiter(map(len, found), np.int32, len(found)), lengths)
+                dealt = np.concatenate(salts)
+                salt = (mix(owners.view(np.uint64)) % dealt.view(np.uint64)).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).view(np.int64), owners, sizes, np.concatenate(places), salt, dealt.astype(np.int16))], names=["key", "node", "n", "pos", "salt", "salts"])
 
-    return sets.select("node", "packed").mapInArrow(run, "key bigint, node bigint, n int, pos int")
+    return sets.select("node", "packed").mapInArrow(run, "key bigint, node bigint, n int, pos int, salt smallint, salts smallint")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole runs of equal keys from sorted batches, many runs at a time."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], by: str = "key") -> Iterator[dict[str, np.ndarray]]:
+    """Whole runs of equal ``by`` from batches in which equal ones stand together, many runs at a time."""
     held: list[dict[str, np.ndarray]] = []  # pieces of the run that may go on
     joined = lambda pieces: {c: np.concatenate([x[c] for x in pieces]) for c in names}
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {c: batch.column(c).to_numpy() for c in names}
-        key = now["key"]
-        last = int(np.searchsorted(key, key[-1]))  # where the last run starts
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        key = now[by]
+        turns = np.flatnonzero(key[1:] != key[:-1])
+        last = int(turns[-1]) + 1 if len(turns) else 0  # where the last run starts
         if last:
             yield joined([*held, {c: x[:last] for c, x in now.items()}])
             held = [{c: x[last:] for c, x in now.items()}]
-        elif held and held[0]["key"][0] == key[0]:
+        elif held and held[0][by][0] == key[0]:
             held.append(now)
         else:
             if held:
@@ -292,44 +332,76 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
         yield joined(held)
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and how long they are."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return starts, np.diff(np.concatenate((starts, [len(key)])))
+
+
 def _possible(rule: Rule, n, m, i, j):
     """Whether partners of n and m tokens need be compared for a common token that stands at i and j: it must lie in the first
-    n - o + 1 and m - o + 1 tokens, of which partners with an overlap of o share one, and leave room for that overlap."""
+    n - o + 1 and m - o + 1 tokens, of which partners with an overlap of o share one, and leave room for that overlap. Or for a
+    common subset of -i = -j tokens, which has to be as large as that overlap."""
     need = rule.overlap(n, m)
     early = (i <= n - need) & (j <= m - need)
     room = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need
-    return ((i < 0) & (j < 0) | early & room & (i >= 0) & (j >= 0)) & (np.minimum(n, m) >= -(-rule.num * np.maximum(n, m) // rule.den))
+    return ((i < 0) & (i == j) & (-i >= need) | early & room & (i >= 0) & (j >= 0)) & (np.minimum(n, m) >= -(-rule.num * np.maximum(n, m) // rule.den))
 
 
-LISTS = "key bigint, node bigint, n int, pos int, leader bigint, possible boolean"
+def _useful(rule: Rule, key: np.ndarray, n: np.ndarray, pos: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Which entries can pair at all: not those alone in their list, and of a subset's only those whose size allows for the
+    smallest other set's, or that are the smallest and allow for some other."""
+    starts, lengths = _runs(key)
+    subset, size = pos < 0, n.astype(np.int64)
+    # Entries stand in order of size, so a run's first two have its two smallest sizes.
+    least = np.repeat(size[starts], lengths)
+    second = np.repeat(size[np.minimum(starts + 1, len(key) - 1)], lengths)
+    place = np.arange(len(key)) - np.repeat(starts, lengths)
+    partner = np.where(place == 0, second, least)
+    fits = ~subset | (-pos.astype(np.int64) >= rule.overlap(size, partner))
+    return fits & ((np.repeat(lengths, lengths) > 1) | (salts > 1))
+
+
+LISTS = "list bigint, key bigint, node bigint, n int, pos int, salt smallint, salts smallint, leader bigint, possible boolean"
 
 
 def shared_lists(posted: DataFrame, rule: Rule) -> DataFrame:
-    """Entries of lists with two members or more, each with its list's leader. A written table."""
+    """Entries of lists that can hold a pair, each with its (sub-)list's leader. A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["key", "pos", "node", "n"]):
-            key = g["key"]
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            lengths = np.diff(np.concatenate((starts, [len(key)])))
-            first = np.repeat(starts, lengths)
-            keep = np.repeat(lengths > 1, lengths)
-            possible = _possible(rule, g["n"].astype(np.int64), g["n"][first].astype(np.int64), g["pos"].astype(np.int64), g["pos"][first].astype(np.int64))
-            columns = (key, g["node"], g["n"], g["pos"], g["node"][first], possible & (g["node"] != g["node"][first]))
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["key", "node", "n", "pos", "leader", "possible"])
-
-    ordered = posted.repartition("key").sortWithinPartitions("key", "pos", "node")
-    return stored(ordered.mapInArrow(run, LISTS), "lists")
+        for g in _groups(batches, ["list", "key", "pos", "node", "n", "salt", "salts"], "list"):
+            keep = _useful(rule, g["list"], g["n"], g["pos"], g["salts"])
+            g = {c: x[keep] for c, x in g.items()}
+            starts, lengths = _runs(g["list"])
+            first = np.repeat(starts, lengths) if len(g["list"]) else starts[:0]
+            n, pos = g["n"].astype(np.int64), g["pos"].astype(np.int64)
+            possible = _possible(rule, n, n[first], pos, pos[first]) & (g["node"] != g["node"][first])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(g[c] for c in ("list", "key", "node", "n", "pos", "salt", "salts")), g["node"][first], possible)], names=["list", "key", "node", "n", "pos", "salt", "salts", "leader", "possible"])
+
+    dealt = posted.withColumn("list", F.when(F.col("salts") == 1, F.col("key")).otherwise(F.xxhash64("key", "salt")))
+    ordered = dealt.repartition("list").sortWithinPartitions("list", "pos", "n", "node")
+    return stored(ordered.select("list", "key", "node", "n", "pos", "salt", "salts").mapInArrow(run, LISTS), "lists")
+
+
+def leader_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): members of lists with their leaders, and leaders of sub-lists with the first leader of their list."""
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    members = lists.where("possible").select(*pair("leader", "node"))
+    heads = lists.where("salts > 1 AND node = leader").select("key", "node")
+    tops = heads.groupBy("key").agg(F.min("node").alias("top")).withColumnRenamed("key", "tk")
+    between = heads.join(tops, F.col("key") == F.col("tk")).where("node <> top").select(*pair("top", "node"))
+    return members.unionByName(between).distinct()
 
 
 def _pairs_apart(rule: Rule, g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of lists sorted by size whose members are in different classes, by their distance in the list, all lists at once.
-    A member leaves when its list ends or the other's size is out of reach, as all further ones are."""
-    key, node, comp = g["key"], g["node"], g["comp"]
+    A member leaves when its list ends or the other's size is out of reach, as all further ones are. Where two sub-lists meet,
+    only members of both are paired."""
+    key, node, comp, salt, meet = g["list"], g["node"], g["comp"], g["salt"], g["meet"]
     n, pos = g["n"].astype(np.int64), g["pos"].astype(np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    starts, lengths = _runs(key)
     apart = np.concatenate(([False], (comp[1:] != comp[:-1]) & (key[1:] == key[:-1])))
-    left = np.flatnonzero(np.repeat(np.add.reduceat(apart, starts, dtype=np.int64) > 0, np.diff(np.concatenate((starts, [len(key)])))))
+    left = np.flatnonzero(np.repeat(np.add.reduceat(apart, starts, dtype=np.int64) > 0, lengths))
     far = 0
     while len(left):
         far += 1
@@ -337,7 +409,7 @@ def _pairs_apart(rule: Rule, g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndar
         right = left + far
         near = (key[right] == key[left]) & (n[left] >= -(-rule.num * n[right] // rule.den))
         left, right = left[near], right[near]
-        ok = (comp[left] != comp[right]) & _possible(rule, n[left], n[right], pos[left], pos[right])
+        ok = (comp[left] != comp[right]) & (~meet[left] | (salt[left] != salt[right])) & _possible(rule, n[left], n[right], pos[left], pos[right])
         if ok.any():
             a, b = node[left[ok]], node[right[ok]]
             yield np.minimum(a, b), np.maximum(a, b)
@@ -347,13 +419,19 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): pairs that share a list, in different classes, and can reach the least overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["key", "n", "node", "pos", "comp"]):
+        for g in _groups(batches, ["list", "n", "node", "pos", "comp", "salt", "meet"], "list"):
             for a, b in _pairs_apart(rule, g):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     met = lists.join(classes.select(F.col("node").alias("cn"), "component"), F.col("node") == F.col("cn"), "left")
-    rows = met.select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = met.select("list", "key", "node", "n", "pos", "salt", "salts", F.coalesce("component", "node").alias("comp"))
+    whole = rows.where("salts = 1").select("list", "node", "n", "pos", "comp", "salt", F.lit(False).alias("meet"))
+    # Of dealt lists, those with one class only are done; an entry of others goes to every pair that its sub-list is in.
+    long = rows.where("salts > 1")
+    open_ = long.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.col("key").alias("ok"))
+    other = long.join(open_, F.col("key") == F.col("ok"), "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)))
+    dealt = other.select(F.xxhash64("key", F.least("salt", "other"), F.greatest("salt", "other")).alias("list"), "node", "n", "pos", "comp", "salt", (F.col("salt") != F.col("other")).alias("meet"))
+    return whole.unionByName(dealt).repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -380,13 +458,15 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return stored(met.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """(s1, s2, component_id) of every non-empty set: component_id is the smallest doc_id of the class."""
+def classes(docs: DataFrame, rule: Rule = Rule(), parts: int = PARTS, long: int = LONG) -> DataFrame:  # noqa: B008
+    """(s1, s2, component_id, r1, r2) of every non-empty set: component_id is the smallest doc_id of its class, and r1, r2 marks the set
+    that holds it (of several the smallest)."""
     sets = distinct_sets(docs, rule)
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(token_sketch(sets, rule))  # 4 << SKETCH_BITS bytes
-    lists = shared_lists(postings(sets, rule, sketch, boundary(sets, rule, sketch)), rule)
-    led = stored(lists.where("possible").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "led")
+    small = boundary(sizes_and_costs(sets, rule, sketch), rule)
+    lists = shared_lists(postings(sets, rule, sketch, small, sets.count(), parts, long), rule)
+    led = stored(leader_pairs(lists), "led")
     links = verified(led, sets, rule)
     known = stored(components(links), "classes")
     rest = stored(cross_pairs(lists, known, rule).join(led, ["a", "b"], "left_anti"), "cross")
@@ -394,8 +474,8 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     if not more.isEmpty():
         known = stored(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "classes")
     named = sets.select("node", "s1", "s2", "doc_id").join(known.withColumnRenamed("node", "kn"), F.col("node") == F.col("kn"), "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return stored(named.join(names, "component").select("s1", "s2", "component_id"), "named")
+    names = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "s1", "s2")).alias("least"))
+    return stored(named.join(names, "component").select("s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.s1").alias("r1"), F.col("least.s2").alias("r2")), "named")
 
 
 def with_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -406,7 +486,18 @@ def with_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B0
 
 
 def keep_representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` whose doc_id names their class, one document of each, and those without words. Rows that repeat a
-    doc_id are one document: they stay together, and go if one of them is in a class that another document names."""
-    out = with_classes(docs, rule).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(out, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stand for their class, and those without words. A class is stood for by the row of its smallest
+    doc_id, among texts that share this id by the one of the smallest mark; rows that repeat both stay together. A class whose ids
+    are all null keeps one row."""
+    n, s1, s2, t1, t2, keeper = unused(docs.columns, "__n", "__s1", "__s2", "__t1", "__t2", "__keeper")
+    stand = classes(docs, rule).where("s1 = r1 AND s2 = r2").select(F.col("s1").alias(t1), F.col("s2").alias(t2), F.col("component_id").alias(keeper))
+    own = columns_of(docs)
+    id_ = F.col("doc_id").cast("bigint")
+    same = (F.col(s1) == F.col(t1)) & (F.col(s2) == F.col(t2))
+    rows = marked(docs.where(id_.isNotNull()), rule, [n, s1, s2])
+    kept = rows.join(stand.where(F.col(keeper).isNotNull()), same & (id_ == F.col(keeper)), "left").where((F.col(n) == 0) | F.col(keeper).isNotNull()).select(*own)
+    # Rows without an id: they stand only for classes that have none.
+    bare = marked(docs.where(id_.isNull()), rule, [n, s1, s2])
+    empty = bare.where(F.col(n) == 0).select(*own)
+    alone = bare.where(F.col(n) > 0).dropDuplicates([s1, s2]).join(stand.where(F.col(keeper).isNull()), same, "left_semi").select(*own)
+    return kept.unionAll(empty).unionAll(alone)
