@@ -233,7 +233,9 @@ def test_bpe_equals_the_library(spark):
 
     library = Tokenizer.from_file(bpe.default_path())
     texts = [*TEXTS, "<|endoftext|>a<|endoftext|>", "aaaa" * 50, "I'll 've's\r\n\t x  y", "\x00\x01é́", "x" * 3000]
-    rows = bpe.decode(bpe.encode(frame(spark, texts, ids="clash"))).orderBy("doc_id").collect()
+    docs = frame(spark, texts, ids="clash")
+    rows = bpe.decode(bpe.encode(docs)).orderBy("doc_id").collect()
+    assert rows == bpe.round_trip(docs).orderBy("doc_id").collect()
     for text, r in zip(texts, rows, strict=True):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == want
@@ -241,6 +243,15 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_bpe_refuses_what_it_does_not_do():
+    import json
+
+    spec = json.loads(bpe._content(bpe.default_path()))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"dropout": 0.1}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        with pytest.raises(ValueError):
+            bpe.PairIndexEncoder(json.dumps(spec | change))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_equals_the_library_on_any_text(text):
@@ -289,9 +300,54 @@ def test_media_reads_other_tables_and_refuses_damage():
     assert media._describe(b"")["error"] and media._describe(whole[:100])["error"]
 
 
+def test_media_walks_fragments_and_every_track(spark):
+    box, full = media._box, media._full
+    entry = lambda name: full(b"stsd", struct.pack(">I", 1), box(name, bytes(70)))
+    empty = lambda name: box(b"stbl", entry(name), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    trak = lambda n, handler, name: box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, n, 0, 0), bytes(60)), box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 100, 0), bytes(4)), full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", empty(name))))
+    moov = box(b"moov", trak(1, b"soun", b"twos"), trak(2, b"vide", b"raw "), box(b"mvex", full(b"trex", struct.pack(">5I", 1, 1, 10, 4, 0)), full(b"trex", struct.pack(">5I", 2, 1, 7, 0, media.NOT_SYNC))))
+    sound = box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), full(b"trun", struct.pack(">Ii", 3, 500), flags=media.TRUN_OFFSET))
+    video = box(b"traf", full(b"tfhd", struct.pack(">I", 2)), full(b"trun", struct.pack(">IiI", 2, 600, 0), struct.pack(">IiIi", 9, -3, 11, 5), version=1, flags=media.TRUN_OFFSET | media.TRUN_FIRST_FLAGS | media.TRUN_SIZE | media.TRUN_COMPOSITION), full(b"trun", struct.pack(">I", 1), struct.pack(">I", 6), flags=media.TRUN_SIZE))
+    data = moov + box(b"moof", full(b"mfhd", bytes(4)), sound, video) + box(b"mdat", bytes(200))
+    at = len(moov)
+    first, second = media.read_container(data)
+    assert first.ranges().tolist() == [[at + 500 + 4 * i, at + 504 + 4 * i] for i in range(3)] and first.keyframes().tolist() == [0, 1, 2] and first.ticks() == 30
+    assert second.ranges().tolist() == [[at + 600, at + 609], [at + 609, at + 620], [at + 620, at + 626]]
+    assert (second.keyframes().tolist(), second.ticks(), second.composition().tolist(), second.codec) == ([0], 21, [-3, 5, 0], "raw ")
+    shown = full(b"ctts", struct.pack(">I", 2), struct.pack(">4I", 2, 5, 1, 1))
+    assert media.Track(tables={b"ctts": shown[8:], b"stsz": full(b"stsz", struct.pack(">II", 4, 4))[8:]}).composition().tolist() == [5, 5, 1, 0]
+    rows = media.media_features(spark.createDataFrame([(1, 0, bytearray(data)), (2, 0, bytearray(moov)), (3, 0, None), (None, None, bytearray(data[:-250]))], media.MEDIA)).collect()
+    assert [[t["codec"] for t in r["tracks"] or []] for r in rows] == [["twos", "raw "], ["twos", "raw "], [], []]
+    assert [t["frames"] for t in rows[0]["tracks"]] == [3, 3] and (rows[1]["frames"], rows[1]["payload_bytes"], rows[1]["error"]) == (0, 0, None)
+    assert rows[2]["error"] == "no track" and rows[3]["error"]
+
+
 # -- WARC
 
 
+def test_warc_members_are_found_by_the_names_in_their_indexes():
+    import gzip
+    import io
+    import json
+
+    records = [warc.write_record(i, f"http://x/{i}", b"payload %d" % i) for i in range(4)]
+    packed = [gzip.compress(x) for x in records]
+    line = lambda at, i, name: f"x 2025 {json.dumps({'offset': str(at), 'length': len(packed[i]), 'filename': name})}\n"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/one.warc.gz", packed[0] + packed[1])
+        z.writestr("archive/two.warc.gz", packed[2] + packed[3])
+        z.writestr("indexes/a.cdxj", line(0, 0, "one.warc.gz") + line(0, 2, "archive/two.warc.gz"))
+        z.writestr("indexes/b.cdx.gz", gzip.compress(("!meta\n" + line(len(packed[0]), 1, "one.warc.gz") + line(len(packed[2]), 3, "two.warc.gz") + line(0, 0, "three.warc.gz")).encode()))
+    data = out.getvalue()
+    archive = warc.Archive(lambda start, length: data[start : start + length], len(data))
+    assert [archive.record(x)["payload"] for x in archive.index[:4]] == [b"payload 0", b"payload 2", b"payload 1", b"payload 3"]
+    with pytest.raises(ValueError, match="three"):
+        archive.record(archive.index[4])
+    with pytest.raises(ValueError, match="cannot be opened"):
+        warc._filesystem("dbfs:/x/y")
+
+
 def test_warc_round_trip_and_revisits(spark):
     htmls = ["<p>a</p>", "<p>b</p>", None, "<p>a</p>", "", "<p>a</p>", "x" * 200_000, "é"]
     pages = spark.createDataFrame([(i - 2, None if i == 1 else f"http://x/{i} y\n", h) for i, h in enumerate(htmls)], "page_id bigint, url string, html string").withColumn("first", F.lit(1))

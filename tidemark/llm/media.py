@@ -1,8 +1,9 @@
 """Media columns: ISO base media containers built and walked without decoding payloads.
 
 ``read_container`` walks nested boxes (32-bit, 64-bit and to-the-end sizes), decodes each track's sample tables (stsd, stts,
-ctts, stss, stsz or stz2, stsc, stco or co64, mdhd of both versions) and returns codec, duration, frame count and the byte
-ranges of samples and keyframes. It only reads headers: payload bytes are touched when a caller slices the ranges.
+ctts, stss, stsz or stz2, stsc, stco or co64, mdhd of both versions) and the runs of movie fragments (trex, tfhd, trun), and returns
+codec, duration, frame count, composition offsets and the byte ranges of samples and keyframes of every track. It only reads headers:
+payload bytes are touched when a caller slices the ranges.
 
 ``build_container`` writes payload bytes, a multiple of ``UNIT``, as the frames of an uncompressed ``raw `` video track of 8 by
 8 pixels with three 8-bit samples each; every ``KEY_EVERY``-th frame is listed as a keyframe and a chunk holds
@@ -10,7 +11,9 @@ ranges of samples and keyframes. It only reads headers: payload bytes are touche
 would pass 4 GiB get 64-bit boxes and offsets.
 
 Defined results: a null or empty text is one unit of padding; a truncated or malformed container raises ValueError in
-``read_container`` and gives null features with the message in ``error`` in ``media_features``; repeated rows give a row each.
+``read_container`` and gives null features with the message in ``error`` in ``media_features``, as one without tracks does; a track
+without samples has no ranges, no keyframes and an empty payload; repeated rows give a row each, null ids stay null; an empty table
+gives no rows; other columns are not read. The flat columns are those of the first track, ``tracks`` lists all.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ UNIT, WIDTH, HEIGHT = 192, 8, 8
 TIMESCALE, FRAME_TICKS = 25_000, 1_000
 KEY_EVERY, CHUNK_FRAMES = 12, 25
 #: Boxes that hold boxes. Fixed values of the format.
-CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"))
+CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"))
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -105,7 +108,10 @@ class Track:
     channels: int = 0
     timescale: int = 0
     duration: int = 0
+    id: int = 0
     tables: dict[bytes, bytes] = field(default_factory=dict)
+    #: Of movie fragments, in order: start, end, ticks and composition offset of each sample, and whether it is a keyframe.
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def _entries(self, name: bytes, form: str) -> np.ndarray:
         body = self.tables.get(name, bytes(8))
@@ -129,6 +135,17 @@ class Track:
 
     def ranges(self) -> np.ndarray:
         """Start and end byte of every sample, in decoding order."""
+        return np.concatenate([self._table_ranges(), *(np.stack(run[:2], 1) for run in self.runs)])
+
+    def composition(self) -> np.ndarray:
+        """How many ticks after its decoding time each sample is shown."""
+        known = self.tables.get(b"ctts")
+        runs = self._entries(b"ctts", ">u4,>i4" if known and known[0] else ">u4,>u4")
+        first = np.repeat([int(r[1]) for r in runs] or np.zeros(0, np.int64), [int(r[0]) for r in runs] or np.zeros(0, np.int64)).astype(np.int64)
+        n = len(self.sizes())
+        return np.concatenate([first[:n], np.zeros(max(0, n - len(first)), np.int64), *(run[3] for run in self.runs)])
+
+    def _table_ranges(self) -> np.ndarray:
         sizes = self.sizes()
         chunks = self._entries(b"co64", ">u8") if b"co64" in self.tables else self._entries(b"stco", ">u4")
         runs = self._entries(b"stsc", ">u4,>u4,>u4")
@@ -146,10 +163,15 @@ class Track:
 
     def keyframes(self) -> np.ndarray:
         """Numbers of the sync samples, from 0; all of them where the track has no list."""
-        return self._entries(b"stss", ">u4").astype(np.int64) - 1 if b"stss" in self.tables else np.arange(len(self.sizes()))
+        out = [self._entries(b"stss", ">u4").astype(np.int64) - 1 if b"stss" in self.tables else np.arange(len(self.sizes()))]
+        at = len(self.sizes())
+        for start, *_, sync in self.runs:
+            out.append(np.flatnonzero(sync) + at)
+            at += len(start)
+        return np.concatenate(out)
 
     def ticks(self) -> int:
-        return int(sum(int(n) * int(d) for n, d in self._entries(b"stts", ">u4,>u4"))) or self.duration
+        return int(sum(int(n) * int(d) for n, d in self._entries(b"stts", ">u4,>u4")) + sum(int(run[2].sum()) for run in self.runs)) or self.duration
 
 
 def boxes(data, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
@@ -172,19 +194,89 @@ def boxes(data, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes,
         raise ValueError("a box header is cut off")
 
 
+#: Bits of tfhd and trun that say which fields follow, and the sample flag of frames that need others. Fixed values of the format.
+TFHD_BASE, TFHD_DESCRIPTION, TFHD_TICKS, TFHD_SIZE, TFHD_FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+TRUN_OFFSET, TRUN_FIRST_FLAGS, TRUN_TICKS, TRUN_SIZE, TRUN_FLAGS, TRUN_COMPOSITION = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
+
+
+@dataclass
+class _Fragment:
+    """One track's part of a movie fragment, as far as it was read."""
+
+    track: Track
+    base: int
+    ticks: int
+    size: int
+    flags: int
+
+    @classmethod
+    def of(cls, body: bytes, movie: int, tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> _Fragment:
+        bits, number = struct.unpack_from(">II", body)
+        at, out = 8, cls(tracks.setdefault(number, Track(id=number)), movie, *defaults.get(number, (0, 0, 0)))
+        for bit, form, name in ((TFHD_BASE, ">Q", "base"), (TFHD_DESCRIPTION, ">I", None), (TFHD_TICKS, ">I", "ticks"), (TFHD_SIZE, ">I", "size"), (TFHD_FLAGS, ">I", "flags")):
+            if bits & bit:
+                if name:
+                    setattr(out, name, struct.unpack_from(form, body, at)[0])
+                at += struct.calcsize(form)
+        return out
+
+    def run(self, body: bytes) -> None:
+        """Appends the samples of a trun; without an offset they follow the run before."""
+        bits, n = struct.unpack_from(">II", body)
+        at, start, first = 8, self.base, None
+        if bits & TRUN_OFFSET:
+            start, at = self.base + struct.unpack_from(">i", body, at)[0], at + 4
+        if bits & TRUN_FIRST_FLAGS:
+            first, at = struct.unpack_from(">I", body, at)[0], at + 4
+        names = [name for bit, name in ((TRUN_TICKS, "ticks"), (TRUN_SIZE, "size"), (TRUN_FLAGS, "flags"), (TRUN_COMPOSITION, "composition")) if bits & bit]
+        if len(body) < at + 4 * n * len(names):
+            raise ValueError("trun is cut off")
+        given = dict(zip(names, np.frombuffer(body, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names)).T, strict=True))
+        size, ticks, flags = (given.get(name, np.full(n, default, np.int64)) for name, default in (("size", self.size), ("ticks", self.ticks), ("flags", self.flags)))
+        if first is not None and n:
+            flags = np.concatenate(([first], flags[1:]))
+        composition = given.get("composition", np.zeros(n, np.int64))
+        composition = composition - ((composition >> 31) << 32) if body[0] else composition
+        ends = start + np.cumsum(size)
+        self.track.runs.append((ends - size, ends, ticks, composition, flags & NOT_SYNC == 0))
+        if n:
+            self.base = int(ends[-1])
+
+
 def read_container(data) -> list[Track]:
     """The tracks of a container, from its headers alone."""
     tracks: list[Track] = []
+    by_id: dict[int, Track] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragment: list[_Fragment] = []
 
-    def walk(start: int, end: int, parents: tuple[bytes, ...]) -> None:
+    def walk(start: int, end: int, parents: tuple[bytes, ...], movie: int) -> None:
         for kind, a, b in boxes(data, start, end):
             if kind == b"trak":
                 tracks.append(Track())
             if kind in CONTAINERS:
-                walk(a, b, (*parents, kind))
+                # A fragment's offsets count from the start of its moof box.
+                walk(a, b, (*parents, kind), a - 8 if kind == b"moof" else movie)
+                continue
+            body = bytes(data[a:b]) if parents else b""
+            if kind == b"trex":
+                number, _, ticks, size, flags = struct.unpack_from(">5I", body, 4)
+                defaults[number] = ticks, size, flags
+            elif kind == b"tfhd":
+                fragment[:] = [_Fragment.of(body, movie, by_id, defaults)]
+                if fragment[0].track not in tracks:
+                    tracks.append(fragment[0].track)
+            elif kind == b"trun":
+                if not fragment or b"traf" not in parents:
+                    raise ValueError("a trun without its tfhd")
+                fragment[0].run(body)
             elif b"trak" in parents:
-                track, body = tracks[-1], bytes(data[a:b])
-                if kind == b"mdhd":
+                track = tracks[-1]
+                if kind == b"tkhd":
+                    track.id = struct.unpack_from(">I", body, 20 if body[0] else 12)[0]
+                    by_id[track.id] = track
+                elif kind == b"mdhd":
                     track.timescale, track.duration = struct.unpack_from(">IQ" if body[0] else ">II", body, 20 if body[0] else 12)
                 elif kind == b"hdlr":
                     track.handler = body[8:12].decode("latin-1")
@@ -198,8 +290,8 @@ def read_container(data) -> list[Track]:
                     track.tables[kind] = body
 
     try:
-        walk(0, len(data), ())
-    except struct.error as e:
+        walk(0, len(data), (), 0)
+    except (struct.error, IndexError) as e:
         raise ValueError(f"a header is cut off: {e}") from e
     return tracks
 
@@ -215,17 +307,23 @@ def merged_ranges(ranges: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def features(data: bytes) -> dict:
-    """What ``media_features`` stores of one container."""
-    track = read_container(data)[0]
+def _track_features(track: Track) -> dict:
     ranges = track.ranges()
     keys = ranges[track.keyframes()]
     duration = track.ticks() / track.timescale if track.timescale else 0.0
-    return {"codec": track.codec, "width": track.width, "height": track.height, "frames": len(ranges), "duration": duration, "keyframe_start": keys[:, 0].tolist(), "keyframe_end": keys[:, 1].tolist(), "ranges": merged_ranges(ranges)}
+    return {"handler": track.handler, "codec": track.codec, "width": track.width, "height": track.height, "frames": len(ranges), "duration": duration, "keyframe_start": keys[:, 0].tolist(), "keyframe_end": keys[:, 1].tolist(), "ranges": merged_ranges(ranges)}
+
+
+def features(data: bytes) -> dict:
+    """What ``media_features`` stores of one container: of its first track, and of all in ``tracks``."""
+    tracks = [_track_features(x) for x in read_container(data)]
+    if not tracks:
+        raise ValueError("no track")
+    return tracks[0] | {"tracks": [{k: v for k, v in x.items() if k != "ranges"} for x in tracks]}
 
 
 MEDIA = "doc_id bigint, n_bytes bigint, media binary"
-FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, frames bigint, duration double, keyframe_start array<bigint>, keyframe_end array<bigint>, feature string, error string"
+FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, frames bigint, duration double, keyframe_start array<bigint>, keyframe_end array<bigint>, feature string, tracks array<struct<handler:string,codec:string,width:int,height:int,frames:bigint,duration:double,keyframe_start:array<bigint>,keyframe_end:array<bigint>>>, error string"
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +348,19 @@ def _describe(media: bytes) -> dict:
         return {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "error": str(e) or "no track"}
     payload = b"".join([media[a:b] for a, b in found["ranges"]])
     keys = list(accumulate((zlib.crc32(struct.pack(">QQ", a, b)) for a, b in zip(found["keyframe_start"], found["keyframe_end"], strict=True)), lambda x, y: (x * 31 + y) & 0xFFFFFFFF))
-    text = f"codec={found['codec'].strip()};size={found['width']}x{found['height']};frames={found['frames']};ms={round(found['duration'] * 1000)};keyframes={len(keys)};first={found['keyframe_start'][0]}-{found['keyframe_end'][0]};last={found['keyframe_start'][-1]}-{found['keyframe_end'][-1]};index={keys[-1]:08x}"
+    at = lambda i: f"{found['keyframe_start'][i]}-{found['keyframe_end'][i]}" if keys else "none"
+    text = f"codec={found['codec'].strip()};size={found['width']}x{found['height']};frames={found['frames']};ms={round(found['duration'] * 1000)};keyframes={len(keys)};first={at(0)};last={at(-1)};index={keys[-1] if keys else 0:08x}"
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": text, **{k: found[k] for k in ("codec", "frames", "duration", "keyframe_start", "keyframe_end")},
+        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": text, **{k: found[k] for k in ("codec", "frames", "duration", "keyframe_start", "keyframe_end", "tracks")},
     }
 
 
+TRACKS = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("frames", pa.int64()), ("duration", pa.float64()), ("keyframe_start", pa.list_(pa.int64())), ("keyframe_end", pa.list_(pa.int64()))]))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codec": pa.string(), "frames": pa.int64(), "duration": pa.float64(), "keyframe_start": pa.list_(pa.int64()), "keyframe_end": pa.list_(pa.int64()), "feature": pa.string(), "error": pa.string()}
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codec": pa.string(), "frames": pa.int64(), "duration": pa.float64(), "keyframe_start": pa.list_(pa.int64()), "keyframe_end": pa.list_(pa.int64()), "feature": pa.string(), "tracks": TRACKS, "error": pa.string()}
     for batch in batches:
         found = [_describe(x or b"") for x in batch.column("media").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([x.get(k) for x in found], t) for k, t in kinds.items())], names=["doc_id", "n_bytes", *kinds])

@@ -6,7 +6,11 @@ data member) and ``datapackage.json``. Each task writes under new names in the s
 retried task writes again under other names, and only returned names are read.
 
 ``read_archives`` parses the end-of-central-directory record (ZIP64 too), the central directory and local headers with a few
-range reads, then reads the index member and each record's bytes by range; archives are never extracted or read whole.
+range reads, then reads the index members (all of ``indexes/``, plain or gzip) and each record's bytes by range from the member of
+``archive/`` that its index line names; archives are never extracted or read whole.
+
+Archives are opened by pyarrow, on local and mounted folders, HDFS, S3 (``s3a`` and ``s3n`` too) and GCS; other schemes are refused
+with a message before anything is written.
 
 Payloads of at least ``LEAST`` bytes that are equal (by SHA-1) share one response record, at the smallest page_id; the others
 are revisit records that refer to it and keep the response's HTTP head, so their size and digest are read back too.
@@ -157,14 +161,25 @@ class Archive:
     def __init__(self, read, size: int):
         self.read = read
         members = zip_members(read, size)
-        self.start, self.length = member_range(read, members[DATA])
-        self.index = [json.loads(line.split(" ", 2)[2]) for line in read(*member_range(read, members[INDEX])).decode().split("\n") if line]
+        self.data = {name.rpartition("/")[2]: member for name, member in members.items() if name.startswith("archive/") and not name.endswith("/")}
+        self.places: dict[str, tuple[int, int]] = {}
+        self.index = []
+        for name in sorted(x for x in members if x.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", x)):
+            text = read(*member_range(read, members[name]))
+            text = gzip.decompress(text) if name.endswith(".gz") else text
+            self.index += [json.loads(line.split(" ", 2)[2]) for line in text.decode().split("\n") if line and not line.startswith("!")]
 
     def record(self, entry: dict) -> dict:
+        name = entry["filename"].rpartition("/")[2]
+        if name not in self.places:
+            if name not in self.data:
+                raise ValueError(f"the index names {name}, which the archive does not hold")
+            self.places[name] = member_range(self.read, self.data[name])
+        start, whole = self.places[name]
         offset, length = int(entry["offset"]), int(entry["length"])
-        if offset + length > self.length:
+        if offset + length > whole:
             raise ValueError("the index points outside the data member")
-        return read_record(zlib.decompress(self.read(self.start + offset, length), 31))
+        return read_record(zlib.decompress(self.read(start + offset, length), 31))
 
 
 def build_archive(records: list[tuple[str, bytes]]) -> bytes:
@@ -183,16 +198,25 @@ def build_archive(records: list[tuple[str, bytes]]) -> bytes:
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (fs.LocalFileSystem(), path)
+    """The file system of a path as Spark writes it."""
+    if not re.match(r"[a-z0-9]+:", path):
+        return fs.LocalFileSystem(), path
+    known = re.sub(r"^s3[an]:", "s3:", path)
+    if not re.match(r"(file|hdfs|viewfs|s3|gs|gcs):", known):
+        raise ValueError(f"archives cannot be opened at {path}: set spark.checkpoint.dir to a folder, HDFS, S3 or GCS")
+    return fs.FileSystem.from_uri(known)
 
 
 def tagged(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload and first, the page that a revisit refers to. Digests are aggregated before they are shuffled,
-    and only those of several pages are joined back."""
+    """page_id, url, payload and first, the page that a revisit refers to. Digests are aggregated before they are shuffled; which
+    pages are revisits is found from ids and digests alone, and only then met by page, so that equal payloads do not meet in one task
+    however many there are."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    firsts = rows.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    met = rows.join(firsts.select(F.col("sha1").alias("s"), "first"), F.col("sha1") == F.col("s"), "left")
-    return met.select("page_id", "url", "payload", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"))
+    known = rows.where(F.length("payload") >= least).select("page_id", "sha1")
+    firsts = known.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select(F.col("sha1").alias("s"), "first")
+    again = known.join(firsts, F.col("sha1") == F.col("s")).where("first < page_id").select(F.col("page_id").alias("again"), "s", "first").distinct()
+    met = rows.join(again, (F.col("page_id") == F.col("again")) & (F.col("sha1") == F.col("s")), "left")
+    return met.select("page_id", "url", "payload", "first")
 
 
 def write_archives(records: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -243,4 +267,5 @@ def read_archives(catalog: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to archives in the shared folder and reads them back."""
     root = scratch(pages.sparkSession, "warc")
+    _filesystem(root)
     return read_archives(write_archives(tagged(pages, least), root, archive_bytes))
