@@ -56,7 +56,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    out = bpe.round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -78,18 +78,51 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of operator 3: all but the verdict."""
+    return op3_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of operator 4: the payloads as read back from containers."""
+    return op4_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of operator 10: words, places and labels of the base phrases."""
+    return op10_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over typed parts: every message is cut into two text parts in its middle and followed by an image of as many units
+    as the turn's number; the turns are read back, placeholders included."""
+    rows = table(spark, sf_dir, "conversations")
+    text, half = F.coalesce("text", F.lit("")), (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    part = lambda kind, text, uri, units: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), uri.cast("string").alias("uri"), units.cast("bigint").alias("units"))
+    none = F.lit(None)
+    parts = F.array(part("text", F.substring(text, F.lit(1), half), none, none), part("text", F.substring(text, half + 1, F.length(text)), none, none), part("image", none, F.concat_ws("/", "conv_id", "turn"), F.col("turn")))
+    out = chatfmt.format_conversations(rows.select("conv_id", "turn", "role", parts.alias("parts"))).withColumn("turns", chatfmt.read_back(F.col("formatted")))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    uris = F.array_join(F.transform("attachments", lambda a: a["uri"]), ",")
+    return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.size("attachments").cast("bigint").alias("n_attachments"), uris.alias("uris"), "expanded_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op5_ngram_jaccard_join, op6_bpe, op7_mixing, op8_line_dedup, op9_warc, op10_license_scans)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_quality_rules, op4_media_columns, op5_ngram_jaccard_join, op6_bpe, op7_mixing, op8_line_dedup, op9_warc, op10_license_scans, quality_base, media_payloads, license_base, chat_parts)}
 
 
 def _secret_sql() -> str:
-    """Matches of each kind, and the texts between them, give the offsets; case is spelled out, as (?i) reaches beyond ASCII."""
+    """Matches of each kind, and the texts between them, give the offsets; the base patterns are written out by hand, case
+    and all, as (?i) reaches beyond ASCII; those of the method's own kinds are the operator's."""
+    word = "[A-Za-z0-9+/_.=-]+"
+    by_hand = [
+        ("assign", "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?(" + word + ")", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16),
+        ("hex", "[0-9a-f]+", 0, 32),
+    ]
+    more = [(kind, pattern.pattern, group, least) for kind, pattern, group, least in secrets.EXTRA]
     rules = []
-    for i, (kind, pattern, group, least) in enumerate(secrets.BASE + secrets.EXTRA):
-        text = pattern.pattern
-        if kind == "assign":
-            names, rest = text.split(")", 1)
-            text = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names) + ")" + rest
+    for i, (kind, text, group, least) in enumerate(by_hand + more):
         text = text.replace("'", "''")
         rules.append(f"SELECT r, t, '{kind}' AS kind, {i} AS ord, {least} AS least, regexp_extract_all(t, '{text}') AS m, regexp_extract_all(t, '{text}', {group}) AS g, string_split_regex(t, '{text}') AS s FROM d")
     base = ", ".join(f"'{kind}'" for kind, *_ in secrets.BASE)
@@ -108,6 +141,37 @@ FROM d LEFT JOIN j ON d.r = j.r GROUP BY d.r, d.doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM w),
+t AS (SELECT r, doc_id, len(sh) AS n, unnest(sh) AS token FROM s),
+e AS (
+  SELECT a.r AS a, b.r AS b FROM t a JOIN t b ON a.token = b.token AND a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(r, other) AS (SELECT r, r FROM s UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.other = e.a)
+SELECT s.doc_id, CAST(len(any_value(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.r JOIN s o ON o.r = reach.other GROUP BY s.r, s.doc_id""",
+        "quality_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2))),
+c AS (SELECT r, count(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM g WHERE n > 1) GROUP BY r),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(array_to_string(w, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN l ON d.r = l.r LEFT JOIN c ON d.r = c.r)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b""",
+        "media_payloads": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, 192 * greatest(1, (octet_length(b) + 191) // 192) AS m, b FROM d)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || encode(repeat(' ', CAST(m - n AS INT)))) AS payload_sha256 FROM p""",
+        "license_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, label, i - 1 AS place FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), (VALUES ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])) v(label, phrase) WHERE w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM d LEFT JOIN p ON d.r = p.r GROUP BY d.r, d.doc_id""",
+        "chat_parts": r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || '<|image:' || k || '|>' || chr(10), '' ORDER BY k)) AS turns_sha256,
+  count(*) AS n_attachments, string_agg(conv_id || '/' || turn, ',' ORDER BY k) AS uris, CAST(sum(256 * turn) AS BIGINT) AS expanded_tokens
+FROM m GROUP BY conv_id""",
         "op1_secret_scans": _secret_sql(),
         "op2_chat_formatting": r"""
 WITH m AS (
