@@ -7,7 +7,7 @@ from left to right, the pairs that a merge makes enter the lists, and entries wh
 rank of the block is left. A merge needs symbols that an earlier rank made (``PairIndexEncoder`` refuses files where that is not so),
 so each pre-token gets exactly the ids that merging it alone, rank by rank, would give.
 
-Texts are taken ``CHARS`` characters at a time, a longer one alone, so memory follows the longest text and not the partition. Ids of
+Texts are taken ``CHARS`` bytes at a time, a longer one alone, so memory follows the longest text and not the partition. Ids of
 pre-tokens are remembered within a task up to ``MEMORY`` entries, then forgotten as a whole; this bounds memory and changes no
 result. The tokenizer is read from a ``tokenizers`` JSON file whose path is a parameter; the driver reads it and broadcasts its
 content, whose size is checked against ``LARGEST_FILE``. Files that ask for more than byte-level BPE with the split pattern below
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts of ASCII only, where the classes are plain ranges.
 ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 MEMORY = 1 << 18
-CHARS = 4 << 20
+CHARS = 2 << 20
 LARGEST_FILE = 16 << 20
 
 
@@ -97,16 +98,16 @@ class PairIndexEncoder:
         self.lengths = np.array([len(bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.flat = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), np.uint8)
-        made: dict[int, int] = {}  # merged id -> rank
+        made: dict[int, int] = {}  # merged id -> lowest rank
         left, right, merged = [], [], []
         for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = (vocab[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            if max(made.get(a, -1), made.get(b, -1)) >= rank:
-                raise ValueError("a merge needs a symbol of a later one")
-            left.append(a)
-            right.append(b)
-            merged.append(vocab[raw_join(spec["model"]["merges"][rank])])
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            left.append(vocab[a])
+            right.append(vocab[b])
+            merged.append(vocab[a + b])
             made.setdefault(merged[-1], rank)
+        if any(max(made.get(a, -1), made.get(b, -1)) >= rank for rank, (a, b) in enumerate(zip(left, right, strict=True))):
+            raise ValueError("a merge needs a symbol of a later one")
         self.left, self.right, self.merged = (np.array(x, np.int64) for x in (left, right, merged))
         keys = self.left << 32 | self.right
         order = np.argsort(keys, kind="stable")  # of a repeated pair the lowest rank counts
@@ -216,22 +217,17 @@ class PairIndexEncoder:
         return self.flat[places].tobytes().decode("utf-8", "replace")
 
 
-def raw_join(pair: str | list[str]) -> str:
-    """The token that a merge makes."""
-    return "".join(pair.split(" ") if isinstance(pair, str) else pair)
-
-
-def _portions(texts: list[str]) -> Iterator[slice]:
-    """Cuts rows into runs of at most ``CHARS`` characters; a longer text is a run of its own."""
+def _portions(sizes: list[int]) -> Iterator[slice]:
+    """Cuts rows into runs of at most ``CHARS`` bytes; a longer text is a run of its own."""
     start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > CHARS:
+    for i, size in enumerate(sizes):
+        if i > start and total + size > CHARS:
             yield slice(start, i)
             start = i
             total = 0
-        total += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def _content(path: str) -> str:
@@ -253,19 +249,32 @@ def _encoder(broadcast) -> PairIndexEncoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit) of each row; no shuffle."""
+def _encoded(docs: DataFrame, path: str | None, read_back: bool) -> DataFrame:
     content = docs.sparkSession.sparkContext.broadcast(_content(path or default_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for run_ in _portions(texts):
-                ids = encoder.encode_batch(texts[run_])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[run_.start : run_.stop], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            texts = batch.column("text")
+            for part in _portions(pc.binary_length(texts).fill_null(0).to_pylist()):
+                ids = encoder.encode_batch([x or "" for x in texts[part].to_pylist()])
+                columns = [batch.column("doc_id")[part], pa.array(ids, pa.binary())]
+                if read_back:
+                    columns.append(pa.array(map(encoder.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
+
+    schema = "doc_id bigint, ids binary" + ", text string" * read_back
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit) of each row; no shuffle."""
+    return _encoded(docs, path, False)
+
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, "doc_id bigint, ids binary")
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """What ``decode`` of ``encode`` gives, doc_id, ids and the text that the ids stand for, in one pass and one worker a task."""
+    return _encoded(docs, path, True)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
