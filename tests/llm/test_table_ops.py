@@ -260,6 +260,8 @@ def test_components_of_paths_and_hubs(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 90 for i in [*range(90, 99), *range(100, 160)]}
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    odd = spark.createDataFrame([(None, 1, "x"), (2, None, "x"), (4, 4, "x"), (3, 5, "x"), (5, 3, "x"), (3, 5, "x")], "a bigint, b bigint, node string")
+    assert sorted(map(tuple, components.components(odd).collect())) == [(3, 3), (5, 3)]
 
 
 # -- pipeline
@@ -295,5 +297,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert all(r["ids_sha256"] == hashlib.sha256(bytes(r["ids"])).hexdigest() and r["n_tokens"] * 4 == len(r["ids"]) for r in got)
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 60, n))
+    long = [prose(120) for _ in range(12)]
+    rows = [(i, t, "s") for i, t in enumerate(long)] + [(None, long[0], "s"), (None, prose(90), None), (None, None, None), (3, long[3], "s"), (5, prose(80), None), (20, "", "s"), (21, " \n ", "s")]
+    names = ("__n", "__drops", "__size", "__copy", "__row", "__keeper", "size", "s1")
+    docs = docs_of(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "source", "CAST(length(text) AS BIGINT) AS n_chars").withColumns({c: F.lit("mine") for c in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.where("false")):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, now = now, corpus_pipeline.stored(stage(spark, now, str(tmp_path)), f"test-{name}")
+            assert now.columns == docs.columns and all(r[c] == "mine" for r in now.collect() for c in names), name
+            assert now.select("doc_id", "source").exceptAll(before.unionAll(before).unionAll(before).select("doc_id", "source")).isEmpty(), name
+        out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert out.count() == now.count()
+        assert table is not docs or {20, 21}.isdisjoint({r["doc_id"] for r in out.collect()})
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds, each a written table."""
+"""Connected components by alternating large-star and small-star rounds, each a written table.
+
+Defined results: edges (a, b) with a null end, and loops, link nothing and name no node; repeated edges and both directions of one
+count once; an empty table gives no rows; other columns are not read.
+"""
 
 from __future__ import annotations
 
