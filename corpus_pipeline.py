@@ -2,6 +2,17 @@
 
 quality rules -> line dedup -> n-gram Jaccard join (one document of each class stays) -> mixing sources -> BPE.
 All stages but the last return the columns of ``documents``; the last returns a row of ids for each row of the mix.
+
+Defined results, for every stage: an empty table gives an empty table; columns beyond those of ``documents``, whatever their names,
+pass through all stages but the last untouched. By stage:
+
+* quality rules: a null or empty text goes, as it has under 50 words; repeated rows are judged alike; a null id or source is kept.
+* line dedup: a null text stays null; rows that share a doc_id are one document; rows with a null id are one, after all others; equal
+  lines of one document stay, so do ties between them.
+* near duplicates: texts without words stay; of a class the row of the smallest id stays, rows that repeat its id and its words too; a
+  class without ids keeps one row.
+* mixing: a null source is a source; a text without words is taken 0 times and goes; of rows that tie as many are taken as fit.
+* BPE: a null or empty text has no ids; a null id stays null; repeated rows give a row each.
 """
 
 from __future__ import annotations
