@@ -1,6 +1,7 @@
 """Row-wise operators against brute force, round trips and libraries."""
 
 import hashlib
+import itertools
 import re
 import struct
 import zipfile
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chatfmt, licenses, media, quality, secrets, warc
@@ -106,6 +108,53 @@ def test_quality_buckets_and_threshold_follow_the_input(spark):
     assert quality.fit_threshold(docs, labels.where("quality = 1"), weights) == quality.THRESHOLD
 
 
+def test_quality_uses_every_labelled_row(spark):
+    n = 21_000  # good rows, and as many bad ones
+    last = spark.range(2 * n).select("id", (F.col("id") < n).alias("good"), F.row_number().over(Window.partitionBy(F.col("id") < n).orderBy(F.xxhash64("id").desc())).alias("k")).where("k = 1")
+    g, b = (r["id"] for r in last.orderBy(F.desc("good")).collect())
+    words = f"CASE id WHEN {g} THEN 'z' WHEN {b} THEN 'y' ELSE IF(id < {n}, 'w', 'x') END"
+    text = f"IF(id IN ({g}, {b}), concat_ws(' ', transform(sequence(1, 60), i -> concat({words}, i))), {words})"
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", f"{text} AS text")
+    labels = spark.range(2 * n).selectExpr("id AS doc_id", f"CAST(id < {n} AS INT) AS quality", "0 AS toxic")
+    weights = quality.fit(docs, labels)
+    target, total = 2 * (n - 1) + 120, 2 * (2 * (n - 1) + 120)
+    at = spark.createDataFrame([("w",)], "text string").select(quality.bucket(F.xxhash64("text"), len(weights))).first()[0]
+    want = np.log((n - 1 + 1) / ((n - 1) * (target / total) + 1))
+    assert weights[at] == round(quality.SCALE * want)
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_report(docs.where(f"doc_id IN ({g}, {b})"), weights).collect()}
+    assert quality.fit_threshold(docs, labels, weights) == pytest.approx(scores[b] + (scores[g] - scores[b]) / 4, abs=1e-12)
+
+
+def test_quality_cut_equals_brute_force(spark):
+    def brute(rows):
+        good, bad = (sorted(s for g, s in rows if g == kind) for kind in (True, False))
+        cuts = sorted({s for _, s in rows})
+        found = [(sum(s < c for s in good) * len(bad) - sum(s < c for s in bad) * len(good), under - c, under) for under, c in itertools.pairwise(cuts)]
+        loss, gap, under = min(found, default=(0, 0, 0))
+        return under - gap / 4 if loss < 0 else quality.THRESHOLD
+
+    rng = np.random.default_rng(11)
+    tables = [[], [(True, 0.5)], [(True, -1.0), (False, 1.0)], [(False, -3.0), (True, 2.0), (True, 2.0)]]
+    tables += [[(bool(g), float(s)) for g, s in zip(rng.random(300) < 0.7, np.round(rng.normal(0, spread, 300), 4), strict=True)] for spread in (0.0001, 0.02, 5)]
+    tables += [[(g, s + (0.01 if g else -0.01)) for g, s in rows] for rows in tables[-3:]]
+    for rows in tables:
+        assert quality.best_cut(spark.createDataFrame(rows, "good boolean, score double")) == pytest.approx(brute(rows), abs=1e-12), rows[:5]
+
+
+def test_quality_labels_join_by_any_id(spark, monkeypatch):
+    ids = [None, 0, 1, -1, 4095, 4096, -4096, -4097, 2**63 - 1, -(2**63), 10**12, 1, 7, 8]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")
+    labels = [(i, int(k % 2), 0) for k, i in enumerate(ids[:11])] + [(1, 1, 1), (4096, 1, 0), (7, None, None), (8, 0, None), (8, 0, 1)]
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    known = [(r["doc_id"], r["quality"]) for r in labels.where("coalesce(toxic, 0) = 0").collect() if r["doc_id"] is not None]
+    want = sorted((str(i), (i, 1) in known, (i, 0) in known) for i in ids)
+    for most in (quality.BROADCAST_BLOCKS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_BLOCKS", most)
+        for kind in ("bigint", "string"):
+            cast = [t.withColumn("doc_id", F.col("doc_id").cast(kind)) for t in (docs, labels)]
+            assert sorted(map(tuple, quality.marked(*cast).collect())) == want, (most, kind)
+
+
 # -- chat formatting
 
 CONTROL = ["<|turn|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\|", "<\\\\s>", "\\", "<", "|", "\n", "<|image:0|>", "x", "é"]

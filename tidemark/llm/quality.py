@@ -4,20 +4,22 @@ Both corpora are multinomials over ``buckets`` hashed features, the one- and two
 pairs with the end of the text). A document's score is the mean, over its features, of log p_target - log p_raw; it is kept
 if the score reaches ``threshold``. Every document is judged by the same threshold, which the labelled rows set, so reruns agree.
 
-The raw counts cover every row of the corpus. The trusted target is fitted on at most ``trusted_limit`` labelled rows, those
-whose hashed id is smallest, and the threshold on these and as many rows labelled bad; this is the only bound, and it is what
-makes the broadcast of labelled ids safe.
+Nothing is sampled: the raw counts cover every row of the corpus, the target every row labelled good and the threshold every row
+labelled good or bad. Labelled ids are packed into blocks of neighbouring ones, so their join moves no texts; where ids lie so far
+apart that there are more than ``BROADCAST_BLOCKS`` blocks, Spark chooses how to join. Of the labelled scores the driver gets only
+the best cut.
 
-The buckets grow with the target, so that at most ``LOAD`` of its features share one on average. At a fixed number every bucket
-comes to hold prose and junk alike, and all weights drift to 0; beyond the target's size, more buckets separate nothing.
+The buckets grow with the target, so that at most ``LOAD`` of its features share one on average: in too few of them prose meets
+junk, and all weights drift towards 0. They end at ``MOST_BUCKETS``, as every task holds the weights; beyond, all features count as
+before but share buckets more, scores draw nearer to each other, and the threshold moves with them, as labelled rows set it.
 
 A feature's weight compares its target count with the count that its share of the corpus predicts, both raised by
 ``SMOOTHING``; so rare features weigh little, and the target's size, or the corpus', does not move scores.
 
 Weights are fixed-point numbers (``SCALE``), so sums do not depend on the order of addition. Everything here is DataFrame
 expressions: a pass counts the target's features, one explodes features into ``buckets`` counters (partial aggregation leaves at
-most ``buckets`` rows a task to shuffle), one scores labelled rows and the last each row in place, without any shuffle. Scoring
-reads the weights from one literal array of 32-bit integers.
+most ``buckets`` rows a task to shuffle, so ``MERGED`` tasks count in one), one scores labelled rows and the last each row in place,
+without any shuffle. Scoring reads the weights from one literal array of 32-bit integers.
 
 Defined results: a null or empty text has no words, fails the base rule and has score 0. With no trusted rows the target
 equals the corpus, so every score is 0 and only the base rules reject. Repeated rows are judged alike, a null id is kept as
@@ -28,16 +30,24 @@ not tell good from bad rows, ``THRESHOLD`` holds.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CHARS, let, whole_text, words_of
+from tidemark.llm.common import SPACE_CHARS, let, stored, whole_text, words_of
 
 SCALE = 1_000_000
-#: The least number of buckets, and how many features of the target a bucket may hold on average before they are doubled.
+#: The least and the largest number of buckets, and how many features of the target a bucket may hold on average before they are
+#: doubled.
 BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 21
 LOAD = 16
-TRUSTED_LIMIT = 20_000
+#: A block holds the labels of 1 << BLOCK_BITS neighbouring ids, in at most 16 KB. This many blocks are broadcast at most.
+BLOCK_BITS = 12
+BROADCAST_BLOCKS = 20_000
+#: How many tasks' rows are counted in one, as long as there are two for each core.
+MERGED = 4
+#: Bins for each nat of score, within which labelled scores are put in order.
+BINS = 1 << 12
 #: Nats for each feature. Prose of the trusted kind scores about 0, text made of other words far below.
 THRESHOLD = -0.25
 SMOOTHING = 1.0
@@ -58,10 +68,26 @@ def bucket(x: Column, buckets: int) -> Column:
     return (x.bitwiseAND(F.lit(buckets - 1).cast("bigint")) if buckets & (buckets - 1) == 0 else F.pmod(x, F.lit(buckets))).cast("int")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT, quality: int = 1) -> DataFrame:
-    """The ids of trusted rows: quality 1, not toxic; at most ``limit``, chosen by hashed id. Or those of another quality."""
-    good = labels.where((F.col("quality") == quality) & F.expr("coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")).select(F.col("doc_id").alias("__id")).distinct()
-    return good.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """The block of a row's doc_id and its place in there. An id that is no integer is a block of its own."""
+    at = F.col("doc_id")
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return at, F.lit(0).cast("smallint")
+    return F.shiftright(at.cast("bigint"), BLOCK_BITS), at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("smallint")
+
+
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text``, ``__good`` and ``__bad`` of every row of ``docs``: whether a label that is not toxic calls its id good (quality 1) or
+    bad (0)."""
+    block, place = _place(labels)
+    known = labels.where("coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(block.alias("__block"), place.alias("__place"), "quality")
+    by = {name: F.collect_set(F.when(F.col("quality") == q, F.col("__place"))).alias(name) for name, q in (("__goods", 1), ("__bads", 0))}
+    blocks = stored(known.groupBy("__block").agg(*by.values()), "labels")
+    block, place = _place(docs)
+    rows = docs.select("text", block.alias("__at"), place.alias("__place"))
+    rows = rows.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks, F.col("__at") == F.col("__block"), "left")
+    among = lambda name: F.coalesce(F.array_contains(name, F.col("__place")), F.lit(False))
+    return rows.select("text", among("__goods").alias("__good"), among("__bads").alias("__bad"))
 
 
 def buckets_for(features: int) -> int:
@@ -69,14 +95,16 @@ def buckets_for(features: int) -> int:
     return max(BUCKETS, 1 << (-(-features // LOAD) - 1).bit_length())
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, trusted_limit: int = TRUSTED_LIMIT, smoothing: float = SMOOTHING) -> np.ndarray:
-    """The fixed-point log-likelihood ratio of each bucket, from all rows of ``docs``."""
-    ids = F.broadcast(trusted_ids(labels, trusted_limit).withColumn("__good", F.lit(1)))
+def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING) -> np.ndarray:
+    """The fixed-point log-likelihood ratio of each bucket, from all rows of ``docs`` and all that are labelled good."""
+    rows = marked(docs, labels)
+    found = rows.where("__good").select((2 * F.size(words_of(whole_text()))).alias("n"), F.spark_partition_id().alias("task")).agg(F.sum("n"), F.max("task")).first()
     if buckets is None:
-        target_docs = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"))
-        buckets = buckets_for(target_docs.agg(F.sum(2 * F.size(words_of(whole_text())))).first()[0] or 0)
-    flagged = _hashed(docs.select("doc_id", "text")).join(ids, F.col("doc_id") == F.col("__id"), "left")
-    exploded = flagged.select(F.coalesce("__good", F.lit(0)).alias("good"), F.explode(F.concat("__h", "__p")).alias("x"))
+        buckets = min(buckets_for(found[0] or 0), MOST_BUCKETS)
+    if found[1] is not None:  # each task shuffles up to ``buckets`` counters, whatever it reads
+        tasks = found[1] + 1
+        rows = rows.coalesce(max(tasks // MERGED, min(tasks, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
+    exploded = _hashed(rows).select(F.col("__good").cast("int").alias("good"), F.explode(F.concat("__h", "__p")).alias("x"))
     exploded = exploded.select("good", bucket(F.col("x"), buckets).alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")).toArrow()  # at most ``buckets`` rows
     raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -88,32 +116,37 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, trusted_
     return np.rint(SCALE * np.log((target + smoothing) / (raw * share + smoothing))).astype(np.int32)
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int | None = None, trusted_limit: int = TRUSTED_LIMIT, smoothing: float = SMOOTHING) -> list[int]:
+def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING) -> list[int]:
     """``fit`` as a list."""
-    return fit(docs, labels, buckets, trusted_limit, smoothing).tolist()
+    return fit(docs, labels, buckets, smoothing).tolist()
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, weights: list[int] | np.ndarray, limit: int = TRUSTED_LIMIT) -> float:
-    """The cut between the scores of rows labelled good and bad, of those that pass the base rules: where the shares of good rows
-    lost and bad rows kept add up to the least, and the gap is widest. It is a quarter up the gap, nearer the bad rows: the weights
-    were fitted on the good ones, so other prose scores lower than they do."""
-    ids = trusted_ids(labels, limit).withColumn("__good", F.lit(True)).unionByName(trusted_ids(labels, limit, 0).withColumn("__good", F.lit(False)))
-    ids = ids.groupBy("__id").agg(F.min("__good").alias("__good"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    labelled = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+def fit_threshold(docs: DataFrame, labels: DataFrame, weights: list[int] | np.ndarray) -> float:
+    """The cut between the scores of all rows labelled good and all labelled bad, of those that pass the base rules; rows labelled both
+    do not count."""
     table = held(docs.sparkSession, weights)
     value = let(hashes(words_of(whole_text())), lambda h: let(pairs(h), lambda p: F.when(~base_failed(h, p), score(h, p, table, len(weights)))))
-    found = labelled.select("__good", value.alias("score")).toArrow().drop_null()  # a filter would move below the join and score every row
-    good, scores = found["__good"].to_numpy().astype(bool), found["score"].to_numpy()
-    if not good.any() or good.all():
-        return THRESHOLD
-    cuts = np.unique(scores)
-    lost = np.searchsorted(np.sort(scores[good]), cuts[1:]) / good.sum()
-    kept = 1 - np.searchsorted(np.sort(scores[~good]), cuts[1:]) / (~good).sum()
-    if not len(lost) or (lost + kept).min() >= 1:
-        return THRESHOLD
-    best = np.flatnonzero(lost + kept <= (lost + kept).min() + 1e-12)
-    k = best[np.argmax(np.diff(cuts)[best])]
-    return float(cuts[k] + (cuts[k + 1] - cuts[k]) / 4)
+    found = marked(docs, labels).where("__good <> __bad").select(F.col("__good").alias("good"), value.alias("score"))
+    return best_cut(stored(found, "scores").dropna())  # before it is stored, a filter would evaluate the score twice
+
+
+def best_cut(scores: DataFrame) -> float:
+    """Where the shares of good rows lost and bad rows kept add up to the least, and the gap is widest, from all rows of ``scores``
+    (good, score). It is a quarter up the gap, nearer the bad rows: the weights were fitted on the good ones, so other prose scores
+    lower than they do. Rows are put in order within bins of the score; how many bins there are depends on its range alone."""
+    good = F.col("good").cast("bigint")
+    each = scores.groupBy(F.floor(F.col("score") * BINS).alias("bin"), "score").agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+    bins = each.groupBy("bin").agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"), F.max("score").alias("top"))
+    order, every = Window.orderBy("bin"), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = order.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("bin", F.sum("goods").over(running).alias("g"), F.sum("bads").over(running).alias("b"), F.lag("top").over(order).alias("top"), F.sum("goods").over(every).alias("goods"), F.sum("bads").over(every).alias("bads"))
+    order = Window.partitionBy("bin").orderBy("score")
+    running = order.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda name, before: F.coalesce(F.sum(name).over(running), F.lit(0)) + F.coalesce(before, F.lit(0))
+    cuts = each.join(F.broadcast(bins), "bin").select("score", "goods", "bads", below("good", "g").alias("lost"), below("bad", "b").alias("gone"), F.coalesce(F.lag("score").over(order), "top").alias("under"))
+    loss = F.col("lost") * F.col("bads") - F.col("gone") * F.col("goods")  # lost / goods + 1 - gone / bads, in whole numbers
+    best = cuts.where("under IS NOT NULL").select("under", (F.col("score") - F.col("under")).alias("gap"), loss.alias("loss")).orderBy("loss", F.desc("gap"), "under").first()
+    return THRESHOLD if best is None or best["loss"] >= 0 else best["under"] + best["gap"] / 4
 
 
 def held(spark: SparkSession, weights: list[int] | np.ndarray) -> Column:
