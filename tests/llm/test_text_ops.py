@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -335,6 +336,20 @@ def test_media_round_trip(spark):
     assert rows[3]["feature"] == rows[8]["feature"]
 
 
+def test_media_workers_hold_small_parts():
+    """However large the batches from Spark, and however long their texts, rows are handled and handed on in small parts."""
+    texts = ["x" * 100] * 1000 + ["y" * 100_000] * 40 + [None, "z" * 3_000_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    built = list(media._build(iter([batch, batch.slice(0, 0)])))
+    read = list(media._read(iter([pa.Table.from_batches(built).combine_chunks().to_batches()[0]])))
+    for parts, column in ((built, "media"), (read, "doc_id")):
+        assert [i for part in parts for i in part.column("doc_id").to_pylist()] == list(range(len(texts)))
+        assert max(part.num_rows for part in parts) <= 256
+        assert all(part.num_rows == 1 or part.column(column).nbytes < 2 << 20 for part in parts)
+    found = [h for part in read for h in part.column("payload_sha256").to_pylist()]
+    assert found == [hashlib.sha256(media.payload_of(x)).hexdigest() for x in texts]
+
+
 def test_media_reads_other_tables_and_refuses_damage():
     box, full = media._box, media._full
     table = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"twos", bytes(28))), full(b"stts", struct.pack(">III", 1, 5, 2)), full(b"stz2", bytes(3), b"\4", struct.pack(">I", 5), bytes([0x12, 0x34, 0x50])), full(b"stsc", struct.pack(">I", 2), struct.pack(">6I", 1, 2, 1, 2, 3, 1)), full(b"co64", struct.pack(">IQQ", 2, 1 << 33, 1 << 34)))

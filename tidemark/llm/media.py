@@ -27,6 +27,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 UNIT, WIDTH, HEIGHT = 192, 8, 8
@@ -326,14 +327,29 @@ MEDIA = "doc_id bigint, n_bytes bigint, media binary"
 FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, frames bigint, duration double, keyframe_start array<bigint>, keyframe_end array<bigint>, feature string, tracks array<struct<handler:string,codec:string,width:int,height:int,frames:bigint,duration:double,keyframe_start:array<bigint>,keyframe_end:array<bigint>>>, error string"
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows, and bytes of more than one row, that a worker holds as Python objects at a time; batches from Spark hold up to 64 MB.
+PART_ROWS, PART_BYTES = 256, 1 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, by the bytes of ``column``."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = part.column("text").to_pylist()
-            media = [build_container(payload_of(x)) for x in texts]
-            sizes = [len((x or "").encode()) for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        at = held = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if i > at and (held + n > PART_BYTES or i - at == PART_ROWS):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if batch.num_rows:
+            yield batch.slice(at)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches, "text"):
+        texts = part.column("text").to_pylist()
+        media = [build_container(payload_of(x)) for x in texts]
+        sizes = [len((x or "").encode()) for x in texts]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
@@ -361,9 +377,9 @@ TRACKS = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), (
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codec": pa.string(), "frames": pa.int64(), "duration": pa.float64(), "keyframe_start": pa.list_(pa.int64()), "keyframe_end": pa.list_(pa.int64()), "feature": pa.string(), "tracks": TRACKS, "error": pa.string()}
-    for batch in batches:
-        found = [_describe(x or b"") for x in batch.column("media").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([x.get(k) for x in found], t) for k, t in kinds.items())], names=["doc_id", "n_bytes", *kinds])
+    for part in _parts(batches, "media"):
+        found = [_describe(x or b"") for x in part.column("media").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array([x.get(k) for x in found], t) for k, t in kinds.items())], names=["doc_id", "n_bytes", *kinds])
 
 
 def media_features(media: DataFrame) -> DataFrame:
